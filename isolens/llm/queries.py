@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isolens.llm import secret_scan, spans
+from isolens.llm import chat, pii, secret_scan, spans
 from isolens.llm.scratch import table
 
 
@@ -15,8 +16,19 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(found, [r.kind for r in secret_scan.BASE_RULES])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    scores = F.array_join(F.transform("scores", lambda x: F.format_number(x, 2)), ",").alias("scores")
+    return spans.digests(found, [k.name for k in pii.BASE], (scores,))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_chats(turns.unionByName(chat.control_sample(turns))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan,)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_pii, op7_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
