@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isolens.llm import chat, pii, secret_scan, spans
+from isolens.llm import chat, decontamination, pii, quality_rules, resampling, secret_scan, spans, toxicity
 from isolens.llm.scratch import table
 
 
@@ -16,6 +16,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(found, [r.kind for r in secret_scan.BASE_RULES])
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     scores = F.array_join(F.transform("scores", lambda x: F.format_number(x, 2)), ",").alias("scores")
@@ -27,8 +31,20 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(chat.control_sample(turns))))
 
 
+def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_pii, op7_chat_format)}
+    return {f.__name__: f for f in (op2_resampling, op3_secret_scan, op5_decontamination, op6_pii, op7_chat_format, op8_toxicity, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
