@@ -4,10 +4,12 @@ A document matches an item of m words when the item, at edit distance of at most
 some word of it.  Words are runs of letters and digits, lower-cased (ASCII), so punctuation and line breaks
 do not count.
 
-Windows of m words are embedded by CGK random walks: a walk reads the word under its pointer at each of
-3 m steps and moves on if a random function of step and word says so, which turns edit distance into
-Hamming distance.  Each of TABLES bit-sampling tables for each of WALKS walks takes SAMPLED steps as
-its key; a window and an item that agree in any key are compared exactly (banded dynamic programming with a free end).
+Items are grouped by length (a power of two and up), and the windows at a document's words are embedded by CGK random
+walks: a walk reads the word under its pointer at each step and moves on if a random function of step
+and word says so, which turns edit distance into Hamming distance.  Each of TABLES bit-sampling tables for each
+of WALKS walks takes SAMPLED steps, of those in which the pointer is still inside the items of the group, as its
+key.  A window and an item that agree in any key are compared exactly: by their common word pairs, then by
+dynamic programming with a free end.
 
 Of all windows only those are embedded that pass the q-gram lemma: an item within k word edits shares at
 least m - 1 - 2 k of its word pairs with the window.  This loses nothing, and leaves few windows in clean text.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from isolens.llm import textkit
 
 RATE = 0.2
-WALKS, TABLES, SAMPLED = 4, 12, 3
+WALKS, TABLES, SAMPLED = 4, 12, 4
 BLOCK = 8 << 20
 #: Windows embedded at once.
 SLICE = 4096
@@ -47,12 +49,12 @@ def words_of(chunk: textkit.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return at.doc, textkit.Hasher(low)(at.start, at.end)
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """Keys of the tables of one walk: windows (n, m) of word hashes become (n, TABLES) hashes."""
-    n, m = windows.shape
-    rng = np.random.default_rng([walk, m])
-    salts = rng.integers(0, 1 << 63, 3 * m, dtype=np.uint64)
-    steps = np.sort(np.stack([rng.choice(3 * m, min(SAMPLED, 3 * m), replace=False) for _ in range(TABLES)]), axis=1)
+def embed(windows: np.ndarray, walk: int, short: int) -> np.ndarray:
+    """Keys of the tables of one walk for items of short words or more: windows (n, width) become (n, TABLES) hashes."""
+    n, width = windows.shape
+    rng = np.random.default_rng([walk, short])
+    salts = rng.integers(0, 1 << 63, 2 * short, dtype=np.uint64)
+    steps = np.sort(np.stack([rng.choice(2 * short, min(SAMPLED, 2 * short), replace=False) for _ in range(TABLES)]), axis=1)
     at = np.zeros(n, np.int64)
     rows = np.arange(n)
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
@@ -62,7 +64,7 @@ def embed(windows: np.ndarray, walk: int) -> np.ndarray:
         for t in np.flatnonzero((steps == j).any(axis=1)):
             keys[:, t] = textkit.mix(keys[:, t] * np.uint64(0x9FB21C651E98DF25) + word + np.uint64(1))
         move = ((word ^ salts[j]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-        at = np.minimum(at + move.astype(np.int64), m)
+        at = np.minimum(at + move.astype(np.int64), width)
     return keys
 
 
@@ -90,14 +92,68 @@ def edits(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray,
     return row[np.arange(n), end], end
 
 
+class Group:
+    """Items of short up to 2 * short - 1 words: hashes padded with zeros, their word pairs, keys in all tables."""
+
+    def __init__(self, short: int, items: list[tuple[int, np.ndarray]], rate: float) -> None:
+        self.short = short
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.length = np.array([len(x) for _, x in items])
+        self.most = (rate * self.length).astype(np.int64)
+        self.shared = np.maximum(1, self.length - 1 - 2 * self.most)
+        self.width = int((self.length + self.most).max())
+        self.words = np.zeros((len(items), int(self.length.max())), np.uint64)
+        for i, (_, x) in enumerate(items):
+            self.words[i, : len(x)] = x
+        pairs = [_owned(textkit.ngrams(x, np.zeros(len(x), np.int64), 2)[1], np.array([i], np.uint64)) for i, (_, x) in enumerate(items)]
+        self.pairs = np.unique(np.concatenate(pairs))
+        self.tables = []
+        for walk in range(WALKS):
+            keys = embed(self.words, walk, short)
+            by = np.argsort(keys, axis=0, kind="stable")
+            self.tables.append([(keys[by[:, t], t], by[:, t]) for t in range(TABLES)])
+
+    def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs that agree in a key of some table."""
+        out = []
+        for walk, tables in enumerate(self.tables):
+            keys = embed(windows, walk, self.short)
+            for t, (known, item) in enumerate(tables):
+                low, high = np.searchsorted(known, keys[:, t], "left"), np.searchsorted(known, keys[:, t], "right")
+                hit = np.flatnonzero(high > low)
+                times = high[hit] - low[hit]
+                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[hit], times)
+                out.append(np.repeat(hit, times) * len(self.ids) + item[place])
+        return np.divmod(np.unique(np.concatenate(out)), len(self.ids))
+
+    def verified(self, windows: np.ndarray, window: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance, words) of the candidates within the item's edits."""
+        pair = textkit.mix(windows[:, :-1] * np.uint64(0x9DDFEA08EB382D69) + windows[:, 1:])
+        real = (windows[:, 1:] != 0)[window] & (np.arange(self.width - 1) < (self.length + self.most)[item][:, None] - 1)
+        own = _owned(pair[window], item.astype(np.uint64)[:, None])
+        known = self.pairs[np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)] == own
+        enough = (known & real).sum(axis=1) >= self.shared[item]
+        window, item = window[enough], item[enough]
+        out = [np.zeros((0, 4), np.int64)]
+        for m in np.unique(self.length[item]):
+            w, i = window[self.length[item] == m], item[self.length[item] == m]
+            most = int(self.most[i[0]])
+            distance, words = edits(self.words[i, :m], windows[w, : m + most], most)
+            near = distance <= most
+            out.append(np.stack([w[near], i[near], distance[near], words[near]], axis=1))
+        return tuple(np.concatenate(out).T)
+
+
+def _owned(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return textkit.mix(pairs ^ (item * np.uint64(0xD6E8FEB86659FD93)))
+
+
 class Items:
-    """One block of the benchmark: word hashes of its items by length, their word pairs, and their keys in all tables."""
+    """One block of the benchmark."""
 
     def __init__(self, rows: list[tuple[int, str]], rate: float = RATE) -> None:
-        self.rate = rate
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
-        pairs = []
+        pairs = [np.zeros(0, np.uint64)]
         for chunk in textkit.chunks(pa.array([t for _, t in rows], pa.string())):
             doc, h = words_of(chunk)
             pairs.append(textkit.ngrams(h, doc, 2)[1])
@@ -105,80 +161,47 @@ class Items:
             for i in range(chunk.n):
                 own = h[cuts[i] : cuts[i + 1]]
                 if len(own) >= 2:
-                    found.setdefault(len(own), []).append((rows[chunk.first + i][0], own))
-        for m, items in sorted(found.items()):
-            self.by_length[m] = (np.array([i for i, _ in items], np.int64), np.stack([x for _, x in items]))
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+                    found.setdefault(1 << (len(own).bit_length() - 1), []).append((rows[chunk.first + i][0], own))
+        self.groups = [Group(short, items, rate) for short, items in sorted(found.items())]
+        self.pairs = np.unique(np.concatenate(pairs))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
-        self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for m, (_, items) in self.by_length.items():
-            for walk in range(WALKS):
-                keys = embed(items, walk)
-                for t in range(TABLES):
-                    by = np.argsort(keys[:, t], kind="stable")
-                    self.tables[m, walk, t] = (keys[by, t], by)
-
-    def most(self, m: int) -> int:
-        return int(self.rate * m)
-
-    def shared(self, m: int) -> int:
-        return max(1, m - 1 - 2 * self.most(m))
-
-    def _is_pair(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-        near = np.minimum(np.searchsorted(self.pairs, h[at]), max(len(self.pairs) - 1, 0))
-        return at[self.pairs[near] == h[at]] if len(self.pairs) else at[:0]
-
-    def starts(self, hits: np.ndarray, doc_of: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
-        """Words at which a window of m words has enough word pairs of the benchmark; hits: the pairs' places, ascending."""
-        need = self.shared(m)
-        if len(hits) < need:
-            return hits[:0]
-        left, right = hits[: len(hits) - need + 1], hits[need - 1 :]
-        ok = (right - left <= m - 2) & (doc_of[left] == doc_of[right])
+
+    def _places(self, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Words at which a word pair of the benchmark begins."""
+        maybe = np.flatnonzero(self.seen[(pair >> np.uint64(44)).astype(np.int64)])
+        if not len(self.pairs):
+            return maybe
+        near = np.minimum(np.searchsorted(self.pairs, pair[maybe]), len(self.pairs) - 1)
+        return at[maybe[self.pairs[near] == pair[maybe]]]
+
+    @staticmethod
+    def _starts(hits: np.ndarray, doc: np.ndarray, first: np.ndarray, m: int, need: int) -> np.ndarray:
+        """Words at which a window of m words has need word pairs of the benchmark or more."""
+        left, right = hits[: max(0, len(hits) - need + 1)], hits[need - 1 :]
+        ok = (right - left <= m - 2) & (doc[left] == doc[right])
         left, right = left[ok], right[ok]
-        low = np.maximum(right - (m - 2), first[doc_of[left]])
-        marks = np.zeros(len(doc_of) + 2, np.int32)
-        np.add.at(marks, low, 1)
-        np.add.at(marks, left + 1, -1)
-        return np.flatnonzero(np.cumsum(marks) > 0)
-
-    def candidates(self, windows: np.ndarray) -> np.ndarray:
-        """(window, item of its length) pairs that agree in a key of some table."""
-        m = windows.shape[1]
-        count = len(self.by_length[m][0])
-        out = []
-        for walk in range(WALKS):
-            keys = embed(windows, walk)
-            for t in range(TABLES):
-                known, item = self.tables[m, walk, t]
-                low, high = np.searchsorted(known, keys[:, t], "left"), np.searchsorted(known, keys[:, t], "right")
-                hit = np.flatnonzero(high > low)
-                times = high[hit] - low[hit]
-                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[hit], times)
-                out.append(np.repeat(hit, times) * count + item[place])
-        return np.unique(np.concatenate(out))
+        low = np.maximum(right - (m - 2), first[doc[left]])
+        times = left - low + 1
+        return np.unique(np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times))
 
     def search(self, chunk: textkit.Chunk) -> np.ndarray:
         """Rows (text, item_id, distance, m, first word, word after the last): the best match of each text and item."""
         doc, h = words_of(chunk)
         at, pair = textkit.ngrams(h, doc, 2)
-        hits = at[self._is_pair(pair)]
+        hits = self._places(at, pair)
         first, last = np.searchsorted(doc, np.arange(chunk.n)), np.searchsorted(doc, np.arange(chunk.n), side="right")
         out = [np.zeros((0, 6), np.int64)]
-        for m, (ids, items) in self.by_length.items():
-            most = self.most(m)
-            begin = self.starts(hits, doc, first, m)
+        for group in self.groups:
+            kinds = sorted({*zip((group.length + group.most).tolist(), group.shared.tolist())})
+            begin = np.unique(np.concatenate([self._starts(hits, doc, first, m, need) for m, need in kinds]))
             for k in range(0, len(begin), SLICE):
                 own = begin[k : k + SLICE]
-                place = own[:, None] + np.arange(m + most)
-                texts = np.where(place < last[doc[own]][:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0))
-                window, item = np.divmod(self.candidates(texts[:, :m]), len(ids))
-                distance, length = edits(items[item], texts[window], most)
-                near = distance <= most
-                window, item = window[near], item[near]
-                out.append(np.stack([doc[own[window]], ids[item], distance[near], np.full(near.sum(), m), own[window] - first[doc[own[window]]], own[window] - first[doc[own[window]]] + length[near]], axis=1))
+                place = own[:, None] + np.arange(group.width)
+                windows = np.where(place < last[doc[own]][:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0))
+                window, item, distance, words = group.verified(windows, *group.candidates(windows))
+                start = own[window] - first[doc[own[window]]]
+                out.append(np.stack([doc[own[window]], group.ids[item], distance, group.length[item], start, start + words], axis=1))
         rows = np.concatenate(out)
         rows = rows[np.lexsort((rows[:, 5], rows[:, 4], rows[:, 2], rows[:, 1], rows[:, 0]))]
         new = np.ones(len(rows), bool)
