@@ -224,14 +224,35 @@ def _searched(shared):
     return run
 
 
+def _clean(shared, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for chunk in textkit.chunks(batch.column(text)):
+                keep[items.search(chunk)[:, 0] + chunk.first] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, rate: float, block: int) -> Iterator:
+    """The benchmark as broadcasts of about block bytes of text each."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").distinct()
+    n = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // block
+    for b in range(n):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(sorted(map(tuple, rows)), rate))
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, distance, item_words, start_word, end_word: the best match of each document row and item."""
     docs = docs.select("doc_id", "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").distinct()
-    n_blocks = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // block
-    parts = []
-    for b in range(n_blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
-        own = docs.sparkSession.sparkContext.broadcast(Items(sorted(map(tuple, rows)), rate))
-        parts.append(docs.mapInArrow(_searched(own), FOUND))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_searched(own), FOUND) for own in _blocks(benchmark, rate, block)])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs in which no item is found, as they are."""
+    for own in _blocks(benchmark, rate, block):
+        docs = docs.mapInArrow(_clean(own, docs.columns.index("text")), docs.schema)
+    return docs

@@ -19,15 +19,17 @@ give a row each; without good labels every weight is 1 and all rows are selected
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isolens.llm import textkit
-from isolens.llm.scratch import saved
+from isolens.llm.scratch import apart, saved
 
 BITS = 15
 MOST_LABELLED = 20_000
@@ -73,18 +75,25 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.
     return np.log(ratio) - np.log((ratio * raw).sum() / max(raw.sum(), 1)) if raw.sum() else np.zeros(len(raw))
 
 
-def _weighed(ratios: np.ndarray):
+def _weighed(ratios: np.ndarray, text: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in textkit.chunks(batch.column(1)):
+            for chunk in textkit.chunks(batch.column(text)):
                 doc, bucket = features(chunk)
                 n = np.bincount(doc, minlength=chunk.n)
                 weight = np.bincount(doc, weights=ratios[bucket], minlength=chunk.n) * np.minimum(1, SPAN / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[chunk.first : chunk.first + chunk.n], pa.array(n), pa.array(weight)], ["doc_id", "n_features", "log_weight"])
+                own = batch.slice(chunk.first, chunk.n)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n), pa.array(weight)], names)
 
     return run
 
 
+def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """docs with n_features and log_weight."""
+    fields = [*docs.schema.fields, T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())]
+    return docs.mapInArrow(_weighed(ratios, docs.columns.index("text"), [f.name for f in fields]), T.StructType(fields))
+
+
 def gumbel(doc_id: Column, seed: int) -> Column:
     """A standard Gumbel variable that the id and the seed determine."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) + 0.5) / float(1 << 53)
@@ -110,21 +119,38 @@ def kth_largest(keys: DataFrame, k: int) -> float:
         low, high = r.low, r.high
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:
-    """doc_id, n_features, log_weight, key and selected for every row of docs."""
-    docs = docs.select("doc_id", "text")
+def _fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """The log ratio of each bucket."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = docs.select("doc_id").join(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).hint("broadcast"), "doc_id")
     known = saved(known.distinct(), "labelled")
     target = bucket_counts(docs.join(F.broadcast(known.filter("quality = 1")), "doc_id"))
-    ratios = log_ratios(target, bucket_counts(docs)) if target.any() else np.zeros(1 << BITS)
-    weighed = docs.mapInArrow(_weighed(ratios), "doc_id bigint, n_features bigint, log_weight double")
-    keyed = saved(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "keyed")
+    return log_ratios(target, bucket_counts(docs)) if target.any() else np.zeros(1 << BITS)
+
+
+def _key(seed: int) -> Column:
+    return F.col("log_weight") + gumbel(F.col("doc_id"), seed)
+
+
+def _threshold(keyed: DataFrame, k: int | None) -> float:
+    """The least key that is selected."""
     if k is None:
         k = keyed.filter(F.col("log_weight") > LEAST).count()
-    total = keyed.count()
-    if k >= total or not total:
-        return keyed.withColumn("selected", F.lit(True))
-    if k <= 0:
-        return keyed.withColumn("selected", F.lit(False))
-    return keyed.withColumn("selected", F.col("key") >= kth_largest(keyed.select("key"), k))
+    if k >= keyed.count():
+        return -math.inf
+    return kth_largest(keyed.select("key"), k) if k > 0 else math.inf
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:
+    """doc_id, n_features, log_weight, key and selected for every row of docs."""
+    docs = docs.select("doc_id", "text")
+    keyed = saved(weigh(docs, _fit(docs, labels)).select("doc_id", "n_features", "log_weight", _key(seed).alias("key")), "keyed")
+    return keyed.withColumn("selected", F.col("key") >= _threshold(keyed, k))
+
+
+def select_rows(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:
+    """The rows of docs that are selected, as they are.  Texts are weighed once for the threshold and once for the selection, which costs less than a join."""
+    own = docs.select("doc_id", "text")
+    ratios = _fit(own, labels)
+    least = _threshold(saved(weigh(own, ratios).select("log_weight", _key(seed).alias("key")), "keyed"), k)
+    return weigh(apart(docs, "doc_id", "text"), ratios).filter(_key(seed) >= least).drop("n_features", "log_weight").toDF(*docs.columns)

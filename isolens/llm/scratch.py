@@ -36,3 +36,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def apart(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with all columns but own renamed, so that names that an operator adds clash with none; toDF(*docs.columns) undoes it."""
+    return docs.toDF(*[c if c in own else f"kept {c}" for c in docs.columns])
