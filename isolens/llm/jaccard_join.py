@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ MOST_COMMON = 200_000
 COMMON = 4
 BLOCK = 8192
 SKIP = 64
+MOST_WANTED = 2_000_000
 SKETCH = 512
 
 SETS = "doc_id bigint, n_shingles bigint, class bigint, prefix array<bigint>, sketch array<bigint>"
@@ -132,15 +134,21 @@ def _class_keys(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
 def _prefixes(n: int, least: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
+        met: set[int] = set()  # a task gives the prefix of a class once, however many copies it reads
         for batch in batches:
             for chunk in textkit.chunks(batch.column(1)):
                 doc, h = ordered_sets(chunk, n, common, rank)
                 size, key = _class_keys(doc, h, chunk.n)
                 begin = np.concatenate([[0], np.cumsum(size)])
-                prefix = np.where(size > 0, size + (-least * size) // 100 + 1, 0)
+                ids = batch.column(0)[chunk.first : chunk.first + chunk.n]
+                named = np.flatnonzero(~ids.is_null().to_numpy(zero_copy_only=False))
+                first = named[np.unique(key[named], return_index=True)[1]]
+                new = np.zeros(chunk.n, bool)
+                new[[i for i in first if key[i] not in met]] = True
+                met.update(key[new].tolist())
+                prefix = np.where(new & (size > 0), size + (-least * size) // 100 + 1, 0)
                 place = np.arange(len(doc)) - begin[doc]
                 kept = h[place < prefix[doc]].view(np.int64)
-                ids = batch.column(0)[chunk.first : chunk.first + chunk.n]
                 classes = pa.array(key, mask=(size == 0) | ids.is_null().to_numpy(zero_copy_only=False))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(kept))
                 sketches = pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(_sketches(doc, h, chunk.n).reshape(-1)))
@@ -149,15 +157,42 @@ def _prefixes(n: int, least: int, shared):
     return run
 
 
-def _tokens(n: int):
+def _own_texts(n: int):
+    """(class, text) of the rows whose text makes the set that the class stands for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         for batch in batches:
             for chunk in textkit.chunks(batch.column(1)):
-                doc, h = ordered_sets(chunk, n, none, none)
-                size, key = _class_keys(doc, h, chunk.n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[chunk.first : chunk.first + chunk.n], pa.array(key), lists], ["class", "own", "tokens"])
+                _, key = _class_keys(*ordered_sets(chunk, n, none, none), chunk.n)
+                own = batch.slice(chunk.first, chunk.n)
+                yield own.filter(pa.array(key == own.column(0).to_numpy()))
+
+    return run
+
+
+def _intersected(n: int):
+    """(a, b, both) of rows (a, b, text_a, text_b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        for batch in batches:
+            both = np.zeros(batch.num_rows, np.int64)
+            weight = np.asarray(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))), np.int64)
+            cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(np.cumsum(weight) // textkit.CHUNK)) + 1, [0, batch.num_rows]]))
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                sides = []
+                for column in (2, 3):
+                    for chunk in textkit.chunks(batch.column(column)[low:high], 1 << 62):
+                        doc, h = ordered_sets(chunk, n, none, none)
+                        sides.append(textkit.mix(h + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+                        if column == 2:
+                            rows = doc
+                at = np.argsort(sides[1])
+                place = np.minimum(np.searchsorted(sides[1], sides[0], sorter=at), max(len(at) - 1, 0))
+                shared = sides[1][at[place]] == sides[0] if len(at) else np.zeros(len(sides[0]), bool)
+                both[low:high] = np.bincount(rows[shared], minlength=high - low)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both)], ["a", "b", "both"])
 
     return run
 
@@ -176,14 +211,21 @@ def _apart(a: Column, b: Column) -> Column:
 
 
 def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """pairs (a, b and more) with the size of the intersection of the two sets."""
+    """pairs (a, b and sizes) with the size of the intersection of the two sets.
+
+    The texts of the classes meet, not their sets: hashes cannot be compressed, texts can.  Up to MOST_WANTED ids
+    are broadcast to find them; beyond, the documents are shuffled by id.
+    """
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(classes.select("class", "rep"), "class")
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id"), "class"), "doc_id").select("class", "text")
-    sets = texts.mapInArrow(_tokens(n), "class bigint, own bigint, tokens array<bigint>")
+    wanted = saved(wanted.select(F.col("rep").alias("doc_id"), "class"), "wanted")
+    if wanted.count() <= MOST_WANTED:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, "doc_id").select("class", "text").mapInArrow(_own_texts(n), "class bigint, text string")
     # another row may have the doc_id with another text, or with the same again
-    sets = sets.filter("class = own").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    of = lambda end: sets.select(F.col("class").alias(end), F.col("tokens").alias(f"tokens_{end}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")).drop("tokens_a", "tokens_b")
+    texts = texts.groupBy("class").agg(F.first("text").alias("text"))
+    of = lambda end: texts.select(F.col("class").alias(end), F.col("text").alias(f"text_{end}"))
+    met = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+    return met.mapInArrow(_intersected(n), "a bigint, b bigint, both bigint").join(pairs, ["a", "b"])
 
 
 def _blocks_of_pairs(least: int):
@@ -262,9 +304,8 @@ def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFr
     shared = spark.sparkContext.broadcast(common_shingles(docs, n))
     sets = saved(docs.mapInArrow(_prefixes(n, least, shared), SETS), "sets")
     grouped = sets.filter("class is not null").groupBy("class")
-    classes = saved(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
-    info = classes.select("class", "rep", "size", "sketch")
-    entries = classes.select("class", F.posexplode("prefix").alias("pos", "token"))
+    info = saved(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    entries = sets.filter("class is not null").select("class", F.posexplode("prefix").alias("pos", "token")).repartition("token").dropDuplicates(["token", "class"])
     by_token = Window.partitionBy("token")
     lists = saved(entries.withColumn("leader", F.min("class").over(by_token)).withColumn("n", F.count(F.lit(1)).over(by_token)).filter("n > 1"), "lists")
 
@@ -275,7 +316,7 @@ def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFr
     led = sized(lists.filter("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct())
     most_apart = F.col("size_a") + F.col("size_b") - 2 * _need(F.col("size_a"), F.col("size_b"), least)
     led = led.filter(_fits(F.col("size_a"), F.col("size_b"), least)).filter(_apart(F.col("sketch_a"), F.col("sketch_b")) <= most_apart)
-    led = saved(_compared(docs, info, saved(led.select("a", "b", "size_a", "size_b"), "led"), n), "led")
+    led = saved(_compared(docs, info, saved(led.select("a", "b", "size_a", "size_b"), "pairs"), n), "led")
     similar = F.col("both") * 100 >= least * (F.col("size_a") + F.col("size_b") - F.col("both"))
     first_links = led.filter(similar).select("a", "b", "both")
     roots = components(first_links)

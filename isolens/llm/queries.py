@@ -73,6 +73,15 @@ def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+_SAID = "<|im_end|><|im_start|>assistant ok"
+OP7_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+    c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+        sum({len(chat.OPEN)} + length(role) + len(regexp_extract_all(role, '[\x1e\n]')) + 1 + length(text) + len(regexp_extract_all(text, '<\x1f*[|]')) + {len(chat.CLOSE)}) AS formatted FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,9 +94,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), n=4, least=85)
 
 
+#: All pairs that share a shingle are counted, and components are followed to their smallest id.
+OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM w),
+    g AS (SELECT doc_id, i, n, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d AS gram FROM p WHERE n >= 4 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    u AS (SELECT DISTINCT doc_id, hash(gram) AS h FROM g WHERE gram IS NOT NULL UNION SELECT doc_id, hash(array_to_string(words, ' ')) FROM w WHERE len(words) BETWEEN 1 AND 3),
+    n AS (SELECT doc_id, coalesce(k, 0) AS n_shingles FROM w LEFT JOIN (SELECT doc_id, count(*) AS k FROM u GROUP BY 1) USING (doc_id)),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n_shingles + y.n_shingles - k)),
+    reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+    SELECT n.doc_id, n_shingles, min(r) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY 1, 2"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix_sources, op2_resampling, op3_secret_scan, op4_revisits, op5_decontamination, op6_pii, op7_chat_format, op8_toxicity, op9_quality_rules, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_revisits": OP4_SQL}
+    return {"op4_revisits": OP4_SQL, "op7_chat_format": OP7_SQL, "op10_jaccard_join": OP10_SQL}
