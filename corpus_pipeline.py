@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isolens.llm import decontamination, jaccard_join, mixing, pii, resampling
-from isolens.llm.scratch import apart, saved, table
+from isolens.llm.scratch import apart, broadcast_up_to, saved, table
+
+#: Ids that are broadcast at most; more of them are joined by a shuffle of the documents.
+MOST_IDS = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a similarity of 0.8 over five words, the document with the smallest doc_id stays."""
-    linked = jaccard_join.similar_documents(docs, n=5, least=80)
-    stay = linked.filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi")
-    return once.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    linked = jaccard_join.similar_documents(docs, n=5, least=80).filter("doc_id is not null")
+    by_id = saved(linked.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("n")).filter("gone or n > 1"), "by-id")
+    left = docs.join(broadcast_up_to(by_id.filter("gone").select("doc_id"), MOST_IDS), "doc_id", "left_anti").select(docs.columns)
+    repeated = by_id.filter("n > 1 and not gone").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    repeated = broadcast_up_to(repeated, MOST_IDS)
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +54,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix with its texts: mix_block, mix_rank, doc_id, source, epoch, tokens, weight, text."""
-    plan = mixing.mix(docs)
-    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.first("text").alias("text"))
-    return plan.join(texts, "doc_id", "left").select("mix_block", "mix_rank", "doc_id", "source", "epoch", "tokens", "weight", "text")
+    own = docs.select("doc_id", "source", "text", F.coalesce("doc_id", F.xxhash64("text", "source")).alias("key"))
+    plan = mixing.mix(own.select(F.col("key").alias("doc_id"), "source", "text")).withColumnRenamed("doc_id", "key")
+    # ids are unique by now; rows without one may be equal
+    texts = own.filter("doc_id is not null").unionByName(own.filter("doc_id is null").dropDuplicates(["key"])).select("key", "doc_id", "text")
+    return plan.join(texts, "key").select("mix_block", "mix_rank", "doc_id", "source", "epoch", "tokens", "weight", "text")
 
 
 STAGES = [

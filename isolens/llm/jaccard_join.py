@@ -9,7 +9,10 @@ Set relations save the comparison of all pairs of a list:
 
 1. Every list has a leader, its first class.  Each class is compared with the leaders of its lists, a number
    linear in the index.  The links found merge most classes of a large group of near copies.
-2. Of each list, only pairs of classes that are not yet connected remain.  A set's answer is derived
+2. Of each list, pairs of classes that are not yet connected are candidates, if no bound rules them out.  In one
+   round a spanning forest of the candidates of each list is compared, the likeliest first, again a linear
+   number; it merges nearly all that belongs together.  In the last round all that remain are compared.
+   The bounds:  a set's answer is derived
    from the leader's: with o(x) tokens of the leader in x, a pair shares at most
    min(o(x), o(y)) + min(|x| - o(x), |y| - o(y)).  Lists are sorted by size and cut into blocks, which are
    skipped whole when sizes and positions (tokens that follow the shared one) rule out every pair; single pairs are
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from isolens.llm import textkit
 from isolens.llm.components import components
-from isolens.llm.scratch import saved
+from isolens.llm.scratch import broadcast_up_to, saved
 
 MOST_COMMON = 200_000
 #: A task names a shingle common that it saw in so many of its documents.
@@ -217,9 +220,7 @@ def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) ->
     are broadcast to find them; beyond, the documents are shuffled by id.
     """
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(classes.select("class", "rep"), "class")
-    wanted = saved(wanted.select(F.col("rep").alias("doc_id"), "class"), "wanted")
-    if wanted.count() <= MOST_WANTED:
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_up_to(saved(wanted.select(F.col("rep").alias("doc_id"), "class"), "wanted"), MOST_WANTED)
     texts = docs.join(wanted, "doc_id").select("class", "text").mapInArrow(_own_texts(n), "class bigint, text string")
     # another row may have the doc_id with another text, or with the same again
     texts = texts.groupBy("class").agg(F.first("text").alias("text"))
@@ -228,42 +229,68 @@ def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) ->
     return met.mapInArrow(_intersected(n), "a bigint, b bigint, both bigint").join(pairs, ["a", "b"])
 
 
-def _blocks_of_pairs(least: int):
-    """Pairs of one list (a row of each entry, its blocks in lo and hi): those that no bound rules out."""
+def _spanning(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Which of the pairs (x, y), in this order, join different labels; label is updated."""
+    out = []
+    left = np.flatnonzero(label[x] != label[y])
+    while len(left):
+        k = left[0]
+        out.append(k)
+        label[label == label[y[k]]] = label[x[k]]
+        left = left[label[x[left]] != label[y[left]]]
+    return out
+
+
+def _blocks_of_pairs(least: int, forest: bool):
+    """Pairs of one list (a row of each entry, its blocks in lo and hi) that no bound rules out, or a spanning forest of them."""
     names = ["token", "lo", "hi", "block", "class", "size", "pos", "component", "led"]
 
-    def pairs(g: dict, sketch: np.ndarray) -> np.ndarray:
-        by = np.argsort(g["size"], kind="stable")
-        g = {k: v[by] for k, v in g.items()}
-        sketch = sketch[by]
+    def candidates(g: dict, sketch: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, sketch distance as a share of what similar sets may have), block by block."""
         size, rest = g["size"], g["size"] - g["pos"]
         starts = np.arange(0, len(size), SKIP)
         smallest, largest, longest = size[starts], np.maximum.reduceat(size, starts), np.maximum.reduceat(rest, starts)
-        one, lo, hi = g["lo"][0] == g["hi"][0], g["lo"][0], g["hi"][0]
-        out = [np.zeros((0, 2), np.int64)]
+        one = g["lo"][0] == g["hi"][0]
         for i, s in enumerate(starts):
             x = slice(s, s + SKIP)
-            # blocks from this one on, while sizes allow a similar pair
+            # blocks from this one on, while sizes and positions allow a similar pair
             fits = (np.arange(len(starts)) >= i) & (smallest * least <= 100 * largest[i])
             fits &= np.minimum(longest, longest[i]) * (100 + least) >= least * (smallest + smallest[i])
             for j in np.flatnonzero(fits):
                 y = slice(starts[j], starts[j] + SKIP)
-                sx, sy = size[x][:, None], size[y][None, :]
-                need = -(-(sx + sy) * least // (100 + least))
-                ok = (np.minimum(sx, sy) * 100 >= np.maximum(sx, sy) * least) & (np.minimum(rest[x][:, None], rest[y][None, :]) >= need)
-                ok &= g["component"][x][:, None] != g["component"][y][None, :]
+                ok = label[x][:, None] != label[y][None, :]
                 if not one:
                     ok &= g["block"][x][:, None] != g["block"][y][None, :]
                 if i == j:
-                    ok &= np.arange(len(size[x]))[:, None] < np.arange(len(size[y]))[None, :]
+                    ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :]
+                if not ok.any():
+                    continue
+                sx, sy = size[x][:, None], size[y][None, :]
+                need = -(-(sx + sy) * least // (100 + least))
+                ok &= (np.minimum(sx, sy) * 100 >= np.maximum(sx, sy) * least) & (np.minimum(rest[x][:, None], rest[y][None, :]) >= need)
                 ox, oy = g["led"][x][:, None], g["led"][y][None, :]
                 bound = np.minimum(ox, oy) + np.minimum(sx - ox, sy - oy)
                 ok &= (ox < 0) | (oy < 0) | (bound >= need)
                 a, b = np.nonzero(ok)
                 if len(a):
                     apart = np.bitwise_count(sketch[x][a] ^ sketch[y][b]).sum(axis=1, dtype=np.int64)
-                    near = apart <= (sx[a, 0] + sy[0, b] - 2 * need[a, b])
-                    out.append(np.sort(np.stack([g["class"][x][a[near]], g["class"][y][b[near]]], axis=1), axis=1))
+                    allowed = sx[a, 0] + sy[0, b] - 2 * need[a, b]
+                    near = np.flatnonzero(apart <= allowed)
+                    yield a[near] + s, b[near] + starts[j], apart[near] / np.maximum(allowed[near], 1)
+
+    def pairs(g: dict, sketch: np.ndarray) -> np.ndarray:
+        by = np.argsort(g["size"], kind="stable")
+        g = {k: v[by] for k, v in g.items()}
+        label = np.unique(g["component"], return_inverse=True)[1]
+        out = [np.zeros((0, 2), np.int64)]
+        for likely in (0.7, 1.0) if forest else (1.0,):
+            for x, y, apart in candidates(g, sketch[by], label):
+                if forest:
+                    order = np.argsort(apart, kind="stable")
+                    order = order[apart[order] <= likely]
+                    kept = order[_spanning(label, x[order], y[order])]
+                    x, y = x[kept], y[kept]
+                out.append(np.sort(np.stack([g["class"][x], g["class"][y]], axis=1), axis=1))
         return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,19 +348,32 @@ def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFr
     first_links = led.filter(similar).select("a", "b", "both")
     roots = components(first_links)
 
-    own = lists.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
-    own = own.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token)).filter("low <> high").drop("low", "high")
     answers = led.select(F.col("a").alias("leader"), F.col("b").alias("class"), F.col("both").alias("led"))
-    own = own.join(answers, ["leader", "class"], "left").join(info.select("class", "size", "sketch"), "class")
-    own = own.withColumn("led", F.when(F.col("leader") == F.col("class"), F.col("size")).otherwise(F.coalesce("led", F.lit(-1).cast("long"))))
-    n_blocks = F.ceil(F.col("n") / BLOCK)
-    own = own.withColumn("block", F.pmod(F.xxhash64("class"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    own = own.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "size", F.col("pos").cast("long").alias("pos"), "component", "led", "sketch")
-    own = own.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    more = own.mapInArrow(_blocks_of_pairs(least), "a bigint, b bigint").distinct()
+    known = lists.join(answers, ["leader", "class"], "left").withColumn("led", F.when(F.col("leader") == F.col("class"), F.lit(-2)).otherwise(F.coalesce("led", F.lit(-1))).cast("long"))
+
+    def open_pairs(roots: DataFrame, tried: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of classes of different components that may be similar and were not compared."""
+        own = known.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class"))
+        own = own.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token)).filter("low <> high")
+        own = own.join(info.select("class", "size", "sketch"), "class").withColumn("led", F.when(F.col("led") == -2, F.col("size")).otherwise(F.col("led")))
+        n_blocks = F.ceil(F.col("n") / BLOCK)
+        own = own.withColumn("block", F.pmod(F.xxhash64("class"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+        own = own.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "size", F.col("pos").cast("long").alias("pos"), "component", "led", "sketch")
+        own = own.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+        found = own.mapInArrow(_blocks_of_pairs(least, forest), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
+        return saved(sized(found).select("a", "b", "size_a", "size_b"), "open")
+
     tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(sized(more.join(tried, ["a", "b"], "left_anti")).select("a", "b", "size_a", "size_b"), "more")
-    links = first_links if more.isEmpty() else first_links.unionByName(saved(_compared(docs, info, more, n).filter(similar).select("a", "b", "both"), "links"))
+    links = first_links
+    for forest in (True, False):
+        more = open_pairs(roots, tried, forest)
+        if more.isEmpty():
+            continue
+        found = saved(_compared(docs, info, more, n).filter(similar).select("a", "b", "both"), "links")
+        links = links.unionByName(found)
+        tried = tried.unionByName(more.select("a", "b"))
+        if forest and not found.isEmpty():
+            roots = components(links)
     return sets.select("doc_id", "n_shingles", "class"), info.select("class", "rep", "size"), links
 
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -41,3 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def apart(docs: DataFrame, *own: str) -> DataFrame:
     """docs with all columns but own renamed, so that names that an operator adds clash with none; toDF(*docs.columns) undoes it."""
     return docs.toDF(*[c if c in own else f"kept {c}" for c in docs.columns])
+
+
+def broadcast_up_to(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; beyond, a join shuffles both sides.  df should be cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df

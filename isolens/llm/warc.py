@@ -69,9 +69,9 @@ def resolve_revisits(records: DataFrame, payload: bool = False, slices: int = SL
     """
     named = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "status", _headers(F.col("headers")).alias("headers"))
     cuts = F.percentile_approx("ts", [i / slices for i in range(1, slices)], 10_000)
-    bounds = named.agg(F.coalesce(cuts, F.array().cast("array<bigint>")).alias("cuts"))  # one row
+    bounds = F.array(*[F.lit(x) for x in named.agg(cuts).first()[0] or []]).cast("array<bigint>")
     light = named.select("record_id", "canonical_url", "ts", ((F.col("kind") == "response") & (F.col("status") == 200)).alias("full"), (F.col("kind") == "revisit").alias("again"))
-    light = light.filter("full or again").crossJoin(F.broadcast(bounds)).withColumn("slice", F.size(F.filter("cuts", lambda x: x < F.col("ts")))).drop("cuts")
+    light = light.filter("full or again").withColumn("slice", F.size(F.filter(bounds, lambda x: x < F.col("ts"))))
     inside = Window.partitionBy("canonical_url", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     response = F.when(F.col("full"), F.col("record_id"))
     near = light.withColumn("near", F.last(response, ignorenulls=True).over(inside)).filter("again")
