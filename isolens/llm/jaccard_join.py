@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isolens.llm import textkit
-from isolens.llm.components import components
+from isolens.llm.components import components, extended
 from isolens.llm.scratch import broadcast_up_to, saved
 
 MOST_COMMON = 200_000
@@ -324,8 +324,8 @@ def _blocks_of_pairs(least: int, forest: bool):
     return run
 
 
-def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets: doc_id, n_shingles, class; classes: class, rep, size; links: a, b, both between classes)."""
+def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets: doc_id, n_shingles, class; classes: class, rep, size; links: a, b, both; components: v, root) of classes."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common_shingles(docs, n))
@@ -370,17 +370,15 @@ def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFr
         if more.isEmpty():
             continue
         found = saved(_compared(docs, info, more, n).filter(similar).select("a", "b", "both"), "links")
-        links = links.unionByName(found)
         tried = tried.unionByName(more.select("a", "b"))
-        if forest and not found.isEmpty():
-            roots = components(links)
-    return sets.select("doc_id", "n_shingles", "class"), info.select("class", "rep", "size"), links
+        if not found.isEmpty():
+            links, roots = links.unionByName(found), extended(roots, found)
+    return sets.select("doc_id", "n_shingles", "class"), info.select("class", "rep", "size"), links, roots
 
 
 def similar_documents(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for every row of docs."""
-    sets, classes, links = join_classes(docs, n, least)
-    roots = components(links)
+    sets, classes, _, roots = join_classes(docs, n, least)
     placed = classes.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = saved(placed.join(smallest, "root").select("class", "component_id"), "of_class")

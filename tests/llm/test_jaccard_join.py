@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from isolens.llm import jaccard_join as j
-from isolens.llm.components import components
+from isolens.llm.components import components, extended
 from isolens.llm.queries import op10_jaccard_join
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -89,7 +89,7 @@ def test_no_pairs_of_a_large_group(spark):
         own[rng.randrange(200)] = f"x{i}"
         texts[i] = " ".join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    sets, classes, links = j.join_classes(docs, 4, 85)
+    sets, classes, links, _ = j.join_classes(docs, 4, 85)
     assert classes.count() == 600 and links.count() < 20 * 600
     assert got(j.similar_documents(docs, 4, 85)) == {i: (len(shingles(texts[i], 4)), 0) for i in texts}
 
@@ -113,6 +113,15 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_links_may_come_later(spark):
+    roots = components(spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a bigint, b bigint"))
+    rows = extended(roots, spark.createDataFrame([(2, 4), (7, 8), (8, 5), (1, 2)], "a bigint, b bigint")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.root, set()).add(r.v)
+    assert sorted(map(sorted, by.values())) == [[1, 2, 3, 4], [5, 6, 7, 8]]
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
