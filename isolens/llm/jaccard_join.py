@@ -49,7 +49,12 @@ SKIP = 64
 MOST_WANTED = 2_000_000
 SKETCH = 512
 
-SETS = "doc_id bigint, n_shingles bigint, class bigint, prefix array<bigint>, sketch array<bigint>"
+#: Of lists up to this length all candidates are compared in the first round.
+SMALL = 32
+#: Most bits of a wide sketch, which has about as many bits as its set has shingles.
+WIDEST = 1 << 16
+
+SETS = "doc_id bigint, n_shingles bigint, class bigint, prefix array<bigint>, sketch array<bigint>, wide array<bigint>"
 
 
 def shingles(chunk: textkit.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +103,33 @@ def _sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _wide_sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, longs): parity sketches whose width, a power of two, follows the size of each set."""
+    width = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), int(np.log2(SKETCH)), int(np.log2(WIDEST))))
+    base = np.concatenate([[0], np.cumsum(width)])
+    parity = np.bincount(base[doc] + (h & (width[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1]) & 1
+    return base // 64, np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def _near(least: int):
+    """Rows (a, b, size_a, size_b) of those with wide_a and wide_b whose sketches, the wider folded, do not rule out similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            allowed = size - 2 * -(-size * least // (100 + least))
+            sides = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (batch.column(4), batch.column(5))]
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (values[offsets[i] : offsets[i + 1]] for offsets, values in sides)
+                m = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in (x, y))
+                keep[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= allowed[i]
+            yield batch.select(["a", "b", "size_a", "size_b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _common(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
@@ -155,7 +187,9 @@ def _prefixes(n: int, least: int, shared):
                 classes = pa.array(key, mask=(size == 0) | ids.is_null().to_numpy(zero_copy_only=False))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)), pa.array(kept))
                 sketches = pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(_sketches(doc, h, chunk.n).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), classes, lists, sketches], [c.split()[0] for c in SETS.split(", ")])
+                offsets, longs = _wide_sketches(doc, h, size)
+                wide = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(longs))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size), classes, lists, sketches, wide], [c.split()[0] for c in SETS.split(", ")])
 
     return run
 
@@ -204,15 +238,6 @@ def _fits(size_a: Column, size_b: Column, least: int) -> Column:
     return F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * least
 
 
-def _need(size_a: Column, size_b: Column, least: int) -> Column:
-    """The least intersection of two sets of these sizes that are similar."""
-    return F.ceil((size_a + size_b) * least / (100 + least))
-
-
-def _apart(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
 def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """pairs (a, b and sizes) with the size of the intersection of the two sets.
 
@@ -293,6 +318,26 @@ def _blocks_of_pairs(least: int, forest: bool):
                 out.append(np.sort(np.stack([g["class"][x], g["class"][y]], axis=1), axis=1))
         return np.concatenate(out)
 
+    def of_small(g: dict, sketch: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """All candidates of many short lists at once: each entry with the k-th after it, while both are of one list."""
+        out = [np.zeros((0, 2), np.int64)]
+        for k in range(1, SMALL):
+            x = np.flatnonzero(group[k:] == group[:-k])
+            if not len(x):
+                break
+            y = x + k
+            ok = g["component"][x] != g["component"][y]
+            x, y = x[ok], y[ok]
+            sx, sy = g["size"][x], g["size"][y]
+            need = -(-(sx + sy) * least // (100 + least))
+            ox, oy = g["led"][x], g["led"][y]
+            ok = (np.minimum(sx, sy) * 100 >= np.maximum(sx, sy) * least) & (np.minimum(sx - g["pos"][x], sy - g["pos"][y]) >= need)
+            ok &= (ox < 0) | (oy < 0) | (np.minimum(ox, oy) + np.minimum(sx - ox, sy - oy) >= need)
+            x, y, allowed = x[ok], y[ok], (sx + sy - 2 * need)[ok]
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= allowed
+            out.append(np.sort(np.stack([g["class"][x[near]], g["class"][y[near]]], axis=1), axis=1))
+        return np.concatenate(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
@@ -302,7 +347,12 @@ def _blocks_of_pairs(least: int, forest: bool):
             sketch = t.column("sketch").combine_chunks()
             sketch = (sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
             new = np.flatnonzero((np.diff(g["token"]) != 0) | (np.diff(g["lo"]) != 0) | (np.diff(g["hi"]) != 0)) + 1
-            out = [pairs({k: v[a:b] for k, v in g.items()}, sketch[a:b]) for a, b in zip([0, *new], [*new, len(sketch)])]
+            cuts = np.concatenate([[0], new, [len(sketch)]])
+            n = np.diff(cuts)
+            group = np.repeat(np.arange(len(n)), n)
+            small = n[group] <= SMALL
+            out = [of_small({k: v[small] for k, v in g.items()}, sketch[small], group[small])]
+            out += [pairs({k: v[a:b] for k, v in g.items()}, sketch[a:b]) for a, b in zip(cuts[:-1][n > SMALL], cuts[1:][n > SMALL])]
             rows = np.unique(np.concatenate(out), axis=0)
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["a", "b"])
@@ -331,19 +381,19 @@ def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFr
     shared = spark.sparkContext.broadcast(common_shingles(docs, n))
     sets = saved(docs.mapInArrow(_prefixes(n, least, shared), SETS), "sets")
     grouped = sets.filter("class is not null").groupBy("class")
-    info = saved(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    info = saved(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
     entries = sets.filter("class is not null").select("class", F.posexplode("prefix").alias("pos", "token")).repartition("token").dropDuplicates(["token", "class"])
     by_token = Window.partitionBy("token")
     lists = saved(entries.withColumn("leader", F.min("class").over(by_token)).withColumn("n", F.count(F.lit(1)).over(by_token)).filter("n > 1"), "lists")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        of = lambda end: info.select(F.col("class").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
-        return pairs.join(of("b"), "b").join(of("a"), "a")
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs, with sizes, that sizes and wide sketches do not rule out."""
+        of = lambda end: info.select(F.col("class").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}"))
+        both = pairs.join(of("b"), "b").join(of("a"), "a").filter(_fits(F.col("size_a"), F.col("size_b"), least))
+        return both.select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(_near(least), "a bigint, b bigint, size_a bigint, size_b bigint")
 
-    led = sized(lists.filter("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct())
-    most_apart = F.col("size_a") + F.col("size_b") - 2 * _need(F.col("size_a"), F.col("size_b"), least)
-    led = led.filter(_fits(F.col("size_a"), F.col("size_b"), least)).filter(_apart(F.col("sketch_a"), F.col("sketch_b")) <= most_apart)
-    led = saved(_compared(docs, info, saved(led.select("a", "b", "size_a", "size_b"), "pairs"), n), "led")
+    led = saved(plausible(lists.filter("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()), "pairs")
+    led = saved(_compared(docs, info, led, n), "led")
     similar = F.col("both") * 100 >= least * (F.col("size_a") + F.col("size_b") - F.col("both"))
     first_links = led.filter(similar).select("a", "b", "both")
     roots = components(first_links)
@@ -355,13 +405,14 @@ def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFr
         """Pairs of classes of different components that may be similar and were not compared."""
         own = known.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class"))
         own = own.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token)).filter("low <> high")
+        own = own if forest else own.filter(F.col("n") > SMALL)
         own = own.join(info.select("class", "size", "sketch"), "class").withColumn("led", F.when(F.col("led") == -2, F.col("size")).otherwise(F.col("led")))
         n_blocks = F.ceil(F.col("n") / BLOCK)
         own = own.withColumn("block", F.pmod(F.xxhash64("class"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
         own = own.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "size", F.col("pos").cast("long").alias("pos"), "component", "led", "sketch")
         own = own.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
         found = own.mapInArrow(_blocks_of_pairs(least, forest), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-        return saved(sized(found).select("a", "b", "size_a", "size_b"), "open")
+        return saved(plausible(found), "open")
 
     tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = first_links
