@@ -575,3 +575,56 @@ def sql_splitter(spark, sf_dir):
     own = _events(spark, sf_dir).select(F.concat(F.lit("q/"), F.col("event_id").cast("string"), F.lit(".sql")).alias("path"), F.concat(F.lit("-- head\n\n"), F.array_join(block, "")).alias("text"))
     return triage.statements(own).select("file", "name", "line")
 
+
+
+# Smaller pieces ------------------------------------------------------------------------------------------------------------
+
+_TYPES = [("Character Varying(20)", "character varying", "canary-tenant-a"), ("TEXT[]", "text", None), ("numeric(10, 2)", "numeric", None), ("uuid", "uuid", st.CANARY_UUIDS[0]), ("timestamp(3) with time zone", "timestamp with time zone", None), ("name", "name", "canary-tenant-a")]
+
+
+@query(f"SELECT declared, base, canary FROM {_values('declared, base, canary', _TYPES)}")
+def declared_types(spark, sf_dir):
+    own = spark.createDataFrame([(t,) for t, *_ in _TYPES], "declared string")
+    return own.select("declared", F.regexp_replace(c.base_type(F.col("declared")), " +", " ").alias("base"), c.canary_text(F.col("declared"), 0).alias("canary"))
+
+
+_ARRAYS = [("{a,b}", "a|b"), ('{"a, b",NULL,"q\\"x"}', 'a, b|<null>|q"x'), ("{}", ""), ("{a,}", None), ("a,b", None)]
+
+
+@query(f"SELECT literal, elements FROM {_values('literal, elements', _ARRAYS)}")
+def array_literals(spark, sf_dir):
+    own = spark.createDataFrame([(t,) for t, _ in _ARRAYS], "literal string")
+    return own.select("literal", F.array_join(c.array_literal("literal"), "|", "<null>").alias("elements"))
+
+
+@query("SELECT o_orderkey AS id, 'Key (id, status)=(' || o_orderkey || ', ' || o_orderstatus || ') already exists.' AS detail, CAST(o_orderkey AS VARCHAR) AS key_id, o_orderstatus AS key_status FROM orders UNION ALL SELECT 0, 'Failing row contains (1).', NULL, NULL")
+def duplicate_key_details(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    detail = F.concat(F.lit("Key (id, status)=("), F.col("o_orderkey").cast("string"), F.lit(", "), F.col("o_orderstatus"), F.lit(") already exists."))
+    own = o.select(F.col("o_orderkey").alias("id"), detail.alias("detail")).unionByName(spark.range(1).select("id", F.lit("Failing row contains (1).").alias("detail")))
+    key = c.duplicate_key(F.col("detail"))
+    return own.select("id", "detail", key["id"].alias("key_id"), key["status"].alias("key_status"))
+
+
+@query("SELECT 'A1' AS gate, 't2' AS \"table\"")
+def proof_first_cause(spark, sf_dir):
+    rows = [("t1", True, True, False), ("t2", True, False, False), ("t3", False, None, None), ("t4", True, False, True)]
+    return proof.first_cause(spark.createDataFrame(rows, "table string, seeded boolean, a1 boolean, a4 boolean"))
+
+
+@query(f"SELECT name, true AS confirmed FROM {_values('name', [(n,) for n in ROW_LEVEL])}")
+def filters_confirmed(spark, sf_dir):
+    legs = _legs(spark, sf_dir)
+    lacking = proof.unconfirmed(legs)
+    return spark.createDataFrame([(n, n not in lacking) for n in legs.filters], "name string, confirmed boolean")
+
+
+@query("SELECT CAST(event_id AS INTEGER) AS conn, type, sql FROM events, (VALUES ('startup', NULL), ('Q', 'SELECT 1')) AS v(type, sql)")
+def startup_negotiation(spark, sf_dir):
+    n = F.col("event_id")
+    ssl, version, query_ = F.unhex(F.lit("0000000804d2162f")), F.unhex(F.lit("0000000900030000") ), F.unhex(F.lit("510000000d53454c454354203100"))
+    sent = F.when(n % 2 == 0, F.concat(ssl, version, F.unhex(F.lit("00")), query_)).otherwise(F.concat(version, F.unhex(F.lit("00")), query_))
+    e = _events(spark, sf_dir).select(n.cast("int").alias("conn"), sent.alias("sent"), (F.pmod(n, F.lit(11)).cast("int") + 1).alias("cut"))
+    halves = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.substring("sent", F.lit(1), F.col("cut")).alias("bytes")), F.struct(F.lit(1).cast("long").alias("seq"), F.substring("sent", F.col("cut") + 1, F.lit(1000)).alias("bytes")))
+    frames = e.select("conn", F.inline(halves), F.lit("F").alias("dir"))
+    return wire.messages(frames, startup=True).select("conn", "type", "sql")

@@ -32,6 +32,35 @@ def class_reason(kind: Column, found: Column) -> Column:
     return F.when(views, F.concat(F.lit("rows of a "), F.lower(kind), F.lit(" come from elsewhere"))).when(F.size(found) > 1, F.concat(F.lit("several candidates: "), F.array_join(found, ", "))).when(F.size(found) == 0, "no candidate column").otherwise("")
 
 
+def base_type(declared: Column) -> Column:
+    """A declared type in lower case, without length and without array brackets."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(declared), r"\[\s*\]", ""), r"\([^)]*\)", ""))
+
+
+def canary_text(declared: Column, which: int) -> Column:
+    """How canary tenant 0 or 1 is written in a tenant column of the declared type; null where it cannot be told apart."""
+    array, base = declared.rlike(r"\[\s*\]"), base_type(declared)
+    return F.when(array, None).when(base == "uuid", st.CANARY_UUIDS[which]).when(base.isin(*st.TEXT_TYPES), st.CANARIES[which])
+
+
+def quoted(name: Column) -> Column:
+    """An identifier between backticks."""
+    return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+
+
+def duplicate_key(detail: Column) -> Column:
+    """map of column to value, from the detail of a unique violation; null if it is none."""
+    lists = [F.split(F.regexp_extract(detail, st.DUPLICATE_PATTERN, i), ", ") for i in (1, 2)]
+    fits = detail.rlike(st.DUPLICATE_PATTERN) & (F.size(lists[0]) == F.size(lists[1]))
+    return F.when(fits, F.map_from_arrays(*lists))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def array_literal(text: pd.Series) -> pd.Series:
+    """The elements of an array literal of the server, with its quotes and escapes; null if it is none."""
+    return text.map(lambda s: st.array_elements(s) if s is not None else None)
+
+
 # Statements, built-in functions only ---------------------------------------------------------------------------------
 
 

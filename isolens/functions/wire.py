@@ -19,14 +19,43 @@ NAME, BPCHAR, VARCHAR, DATE, TIMESTAMP, TIMESTAMPTZ, UUID = 19, 1042, 1043, 1082
 EPOCH = "2000-01-01"
 
 
+SSL_REQUEST, GSS_REQUEST = 80877103, 80877104
+STARTUP_BOUNDS = (8, 1 << 20)
+
+
 class Framer:
-    """Messages (type, body) out of chunks of bytes, however they are split."""
+    """Messages (type, body) out of chunks of bytes, however they are split.
+
+    With startup, a client's first messages, which have no type byte, come out as "startup"; requests for encryption, which are
+    refused, are left out.  A startup message out of bounds ends the connection: nothing follows.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, startup: bool = False) -> None:
         self.held = b""
+        self.startup = startup
+        self.ended = False
+
+    def _begin(self) -> Iterator[tuple[str, bytes]]:
+        while self.startup and not self.ended and len(self.held) >= 4:
+            length = int.from_bytes(self.held[:4], "big")
+            if not STARTUP_BOUNDS[0] <= length <= STARTUP_BOUNDS[1]:
+                self.ended, self.held = True, b""
+                return
+            if len(self.held) < length:
+                return
+            body, self.held = self.held[4:length], self.held[length:]
+            if int.from_bytes(body[:4], "big") not in (SSL_REQUEST, GSS_REQUEST):
+                self.startup = False
+                yield "startup", body
 
     def push(self, data: bytes) -> Iterator[tuple[str, bytes]]:
+        if self.ended:
+            return
         self.held += data
+        if self.startup:
+            yield from self._begin()
+            if self.startup:
+                return
         while len(self.held) >= 5:
             length = int.from_bytes(self.held[1:5], "big")
             if length < 4:
@@ -74,6 +103,8 @@ class Message(NamedTuple):
 def parsed(kind: str, body: bytes, direction: str) -> Message | None:
     """The message's fields; None if it is of no interest or malformed."""
     r = Reader(body)
+    if kind == "startup":
+        return Message(kind)
     try:
         if direction == "F":
             if kind == "P":
@@ -105,11 +136,11 @@ def parsed(kind: str, body: bytes, direction: str) -> Message | None:
     return None
 
 
-def messages(frames: DataFrame) -> DataFrame:
-    """The messages of each connection and direction, from its frames (conn, seq, dir, bytes) in order."""
+def messages(frames: DataFrame, startup: bool = False) -> DataFrame:
+    """The messages of each connection and direction, from its frames (conn, seq, dir, bytes) in order; startup: captured from the beginning."""
 
     def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        framer, out = Framer(), []
+        framer, out = Framer(startup and key[1] == "F"), []
         for data in rows.sort_values("seq")["bytes"]:
             for kind, body in framer.push(bytes(data)):
                 message = parsed(kind, body, key[1])

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isolens.operators.rowfilter import tenant_matches
+from isolens.functions import statements as st
+from isolens.operators.rowfilter import VARIABLE, Legs, tenant_matches
 
-CANARY_A, CANARY_B = "canary-tenant-a", "canary-tenant-b"
-# How row keys are written, and the uuid forms of the two canaries.
+CANARY_A, CANARY_B = st.CANARIES
+# How row keys are written.
 KEY_SEPARATOR, KEY_NULL = "\x1c", "\x1dNULL\x1d"
-CANARY_UUIDS = ("00000000-0000-4000-8000-0000000000a1", "00000000-0000-4000-8000-0000000000b2")
 #: Tenant columns of these types take a canary's text.
 CANARY_TYPES = (T.StringType,)
 
@@ -134,6 +134,24 @@ def aggregate(tables: DataFrame) -> DataFrame:
     return total.withColumn("first_failure", fails).withColumn("proven", F.col("first_failure").isNull())
 
 
+def first_cause(tables: DataFrame) -> DataFrame:
+    """The table and the control to name for a failed proof: of seeded tables, the first by name that fails A1, then A4."""
+    failed = F.when(~F.col("a1"), "A1").when(~F.col("a4"), "A4")
+    own = tables.filter("seeded").select(failed.alias("gate"), "table").filter("gate is not null")
+    return own.agg(F.min(F.struct("gate", "table")).alias("x")).select("x.gate", "x.table").filter("gate is not null")
+
+
+def unconfirmed(legs: Legs) -> list[str]:
+    """Filtered relations whose restricted view does not compare the tenant column with the session variable."""
+    out = []
+    for name, column in legs.filters.items():
+        legs.restricted.sql(f"SET VARIABLE {VARIABLE} = 'confirmed-by-plan'")
+        plan = legs.restricted.table(name)._jdf.queryExecution().optimizedPlan().toString()
+        if not ("confirmed-by-plan" in plan and column in plan) and "LocalRelation <empty>" not in plan:
+            out.append(name)
+    return out
+
+
 # Canary rows ----------------------------------------------------------------------------------------------------------
 
 
