@@ -135,7 +135,7 @@ def _common(n: int):
         none = np.zeros(0, np.uint64)
         held, held_n = [none], [np.zeros(0, np.int64)]
         for batch in batches:
-            for chunk in textkit.chunks(batch.column(0)):
+            for chunk in textkit.chunks(batch.column(0), 2 * textkit.CHUNK):
                 _, h = ordered_sets(chunk, n, none, none)
                 h, count = np.unique(h, return_counts=True)
                 held.append(h[count > 1])

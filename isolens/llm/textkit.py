@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 #: Word separators are space and the five controls from tab to carriage return, all of them one byte in UTF-8.
 SPACE = np.zeros(256, bool)
