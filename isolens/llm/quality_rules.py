@@ -1,18 +1,22 @@
 """Quality rules for documents: repetition and length counts, and bands of n-gram perplexity for each language.
 
 The language model is modified Kneser-Ney over the bytes of texts (order ORDER, every text preceded by
-padding), one model for each language.  Spark counts the n-grams of every document: a task sums its own
+padding), two models for each language: texts are dealt by hash into halves, and a text is scored by the model of
+the half that it is not in, so that neither it nor its exact copies vouch for it.  Spark counts the n-grams of every document: a task sums its own
 before they are shuffled.  Continuation counts, discounts, context totals and interpolated probabilities
-are DataFrame aggregations and joins.  The model is two numbers, log probability and log back-off weight,
-under the 64-bit hash of (language, order, n-gram), kept as arrays sorted by hash and searched by bisection.
+are DataFrame aggregations and joins.  A model is two numbers, log probability and log back-off weight,
+under the 64-bit hash of (half and language, order, n-gram), kept as arrays sorted by hash and searched by bisection.
 
 The model grows with the corpus.  Up to MOST_ENTRIES entries the arrays go to the executors as a broadcast;
 beyond, the n-grams of documents are counted, joined with the model table and summed by document.  Both ways
 compute the same sums.
 
-A text's cross entropy (log perplexity for each byte) is compared with the quartiles of its language over
-all documents: outside [lower quartile - width * s, upper quartile + width * s] it is rejected, where s is the
-distance between quartiles times sqrt(1 + SHORT / bytes), as short texts scatter more.
+A text's cross entropy (log perplexity), for each byte and for each word, is compared with the quartiles of all documents
+that the same model scores: outside [lower quartile - w * s, upper quartile + w * s] in either, it is rejected, where s is
+the distance between quartiles times sqrt(1 + SHORT / bytes), as short texts scatter more, and w is width + UNSURE / sqrt(n)
+for quartiles of n documents: three standard errors of such a bound, if entropies were normal.  Both are needed:
+signs repeated after every word are cheap for each byte, but not for each word.  A language of which one half has no
+text is scored by no model: its texts are alike, and the bands reject none.
 
 A null text counts as empty, a null language as a language of its own; repeated rows give a row each; columns
 besides doc_id, text and lang are ignored.
@@ -32,8 +36,9 @@ from isolens.llm.scratch import saved
 
 ORDER = 5
 MOST_ENTRIES = 4_000_000
-WIDTH = 4.0
+WIDTH = 2.0
 SHORT = 500.0
+UNSURE = 7.5
 #: n-grams that a task sums before it passes them on.
 HELD = 2_000_000
 
@@ -197,11 +202,12 @@ class Model:
 
     def __init__(self, rows: pa.Table, order: int) -> None:
         self.order = order
-        lang, k, gram = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "k", "gram"))
-        keys = np.zeros(len(k), np.uint64)
-        for one in dict.fromkeys(lang):
+        k, gram = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("k", "gram"))
+        lang = rows.column("lang").combine_chunks().dictionary_encode()
+        keys, number_of = np.zeros(len(k), np.uint64), lang.indices.to_numpy()
+        for i, one in enumerate(lang.dictionary.to_pylist()):
             for n in range(order + 1):
-                own = (lang == one) & (k == n)
+                own = (number_of == i) & (k == n)
                 keys[own] = entry_keys(one, n, gram[own])
         by = np.argsort(keys)
         self.keys = keys[by]
@@ -315,15 +321,30 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with the language of the model that they are counted for, and with that of the one that scores them."""
+    half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2))
+    named = lambda n: docs.select("doc_id", "text", F.concat_ws(":", n.cast("string"), F.coalesce("lang", F.lit(""))).alias("lang"))
+    return named(half), named(1 - half)
+
+
 def judge(docs: DataFrame, order: int = ORDER, width: float = WIDTH, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """doc_id, the base counts, base_failed, entropy (nats a byte), low and high (the band) and kept."""
-    model = saved(kneser_ney(saved(count_grams(docs, order), "grams"), order), "model")
-    scored = saved(score(docs, model, order, most_entries), "scored").withColumn("entropy", F.when(F.col("n_bytes") > 0, -F.col("logp") / F.col("n_bytes")))
-    bands = scored.groupBy("lang").agg(F.percentile_approx("entropy", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01)) * F.sqrt(1 + SHORT / F.greatest("n_bytes", F.lit(1)))
-    judged = scored.join(bands, "lang").withColumn("low", F.col("q")[0] - width * spread).withColumn("high", F.col("q")[1] + width * spread)
+    """doc_id, the base counts, base_failed, kept, entropy (nats a byte), low and high (its band), and the same for each word."""
+    counted, asked = _halves(docs)
+    model = saved(kneser_ney(saved(count_grams(counted, order), "grams"), order), "model")
+    each = lambda n: F.when(F.col(n) > 0, -F.col("logp") / F.col(n))
+    scored = saved(score(asked, model, order, most_entries), "scored").withColumn("entropy", each("n_bytes")).withColumn("word_entropy", each("n_words"))
+    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000)
+    bands = scored.groupBy("lang").agg(quartiles("entropy").alias("q"), quartiles("word_entropy").alias("word_q"), F.count("word_entropy").alias("n"))
+    scatter = F.sqrt(1 + SHORT / F.greatest("n_bytes", F.lit(1)))
+    judged = scored.join(bands, "lang")
+    wide = width + UNSURE / F.sqrt(F.greatest("n", F.lit(1)))
+    for q, prefix in (("q", ""), ("word_q", "word_")):
+        spread = F.greatest(F.col(q)[1] - F.col(q)[0], F.lit(0.01)) * scatter
+        judged = judged.withColumn(f"{prefix}low", F.col(q)[0] - wide * spread).withColumn(f"{prefix}high", F.col(q)[1] + wide * spread)
     failed = base_failed()
+    inside = F.col("entropy").between(F.col("low"), F.col("high")) & F.col("word_entropy").between(F.col("word_low"), F.col("word_high"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(False))).alias("kept"), "entropy", "low", "high",
+        (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "entropy", "low", "high", "word_entropy", "word_low", "word_high",
     )

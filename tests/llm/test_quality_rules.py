@@ -106,3 +106,47 @@ def test_query(spark):
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
     good = [r for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(r.kept for r in good) >= 0.95 * len(good)
+
+
+def test_labelled_junk_is_rejected_beyond_the_base_rules(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in op9_quality_rules(spark, "/root/testdata/sf0.01").collect() if not r.base_failed]
+    good, bad = ([r for r in rows if labels.get(r.doc_id) == k] for k in (1, 0))
+    assert len(bad) > 20 and sum(not r.kept for r in bad) >= 0.5 * len(bad)
+    assert sum(r.kept for r in good) >= 0.95 * len(good)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_no_text_vouches_for_itself(spark, most):
+    texts = [f"the cat number {i} sat on the {'mat' if i % 3 else 'roof'} and saw {i * i} dogs" for i in range(12)]
+    docs = spark.createDataFrame([*((i, t, "en") for i, t in enumerate(texts)), (12, texts[0], "en"), (13, texts[0], None)], "doc_id bigint, text string, lang string")
+    half = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(text), 2) AS h").collect()}
+    ids = {h: [i for i in range(13) if half[i] == h] for h in (0, 1)}
+    assert all(len(own) > 1 for own in ids.values())
+    models = {h: brute_model([("en", [*texts, texts[0]][i]) for i in ids[1 - h]], 3)["en"] for h in (0, 1)}
+    got = {r.doc_id: r for r in q.judge(docs, 3, most_entries=most).collect()}
+
+    def logp(model, text):
+        raw, out = b"\0\0" + text.encode(), 0.0
+        contexts = {g[:-1] for g in model}
+        for i in range(len(text)):
+            for g in (raw[i : i + 3], raw[i + 1 : i + 3], raw[i + 2 : i + 3]):
+                if g in model:
+                    out += math.log(model[g])
+                    break
+                out += math.log(spare(model, g[:-1])) if g[:-1] in contexts else 0
+            else:
+                out -= math.log(256)
+        return out
+
+    def spare(model, context):
+        # what the context's own n-grams leave, for what the next shorter context gives them
+        kept = sum(p for g, p in model.items() if len(g) == len(context) + 1 and g[:-1] == context)
+        lower = sum(model[g[1:]] if len(g) > 1 else 1 / 256 for g in model if len(g) == len(context) + 1 and g[:-1] == context)
+        return (1 - kept) / (1 - lower)
+
+    for i in range(13):
+        text = [*texts, texts[0]][i]
+        assert got[i].entropy == pytest.approx(-logp(models[half[i]], text) / len(text), abs=1e-3)
+        assert got[i].word_entropy == pytest.approx(got[i].entropy * len(text) / len(text.split()))
+    assert got[13].entropy == pytest.approx(math.log(256)) and got[13].kept
