@@ -7,7 +7,7 @@ do not count.
 Items are grouped by length (a power of two and up), and the windows at a document's words are embedded by CGK random
 walks: a walk reads the word under its pointer at each step and moves on if a random function of step
 and word says so, which turns edit distance into Hamming distance.  Each of TABLES bit-sampling tables for each
-of WALKS walks takes SAMPLED steps, of those in which the pointer is still inside the items of the group, as its
+of WALKS walks (more for items of 512 words and up, whose walks drift further apart) takes SAMPLED steps, of those in which the pointer is still inside the items of the group, as its
 key.  A window and an item that agree in any key are compared exactly: by their common word pairs, then by
 dynamic programming with a free end.
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from isolens.llm import textkit
 
 RATE = 0.2
-WALKS, TABLES, SAMPLED = 4, 12, 4
-BLOCK = 8 << 20
+WALKS, TABLES, SAMPLED = 16, 12, 3
+BLOCK = 2 << 20
 #: Windows embedded at once.
 SLICE = 4096
 
@@ -49,6 +49,10 @@ def words_of(chunk: textkit.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return at.doc, textkit.Hasher(low)(at.start, at.end)
 
 
+def walks(short: int) -> int:
+    return max(WALKS, short // 16)
+
+
 def embed(windows: np.ndarray, walk: int, short: int) -> np.ndarray:
     """Keys of the tables of one walk for items of short words or more: windows (n, width) become (n, TABLES) hashes."""
     n, width = windows.shape
@@ -108,7 +112,7 @@ class Group:
         pairs = [_owned(textkit.ngrams(x, np.zeros(len(x), np.int64), 2)[1], np.array([i], np.uint64)) for i, (_, x) in enumerate(items)]
         self.pairs = np.unique(np.concatenate(pairs))
         self.tables = []
-        for walk in range(WALKS):
+        for walk in range(walks(short)):
             keys = embed(self.words, walk, short)
             by = np.argsort(keys, axis=0, kind="stable")
             self.tables.append([(keys[by[:, t], t], by[:, t]) for t in range(TABLES)])

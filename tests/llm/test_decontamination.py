@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from isolens.llm import decontamination as d
 from isolens.llm import textkit
@@ -94,3 +95,25 @@ def test_query(spark):
     assert exact and exact <= found
     texts, items = {a.doc_id: a.text for a in docs}, {b.item_id: b.text for b in bench}
     assert all(brute(items[i], texts[n]) for n, i in found - exact)
+
+
+@pytest.mark.parametrize("m", [7, 10, 15, 20, 31, 32, 45, 59, 63, 64, 127, 128, 300, 600])
+@pytest.mark.parametrize("rate", [0.1, 0.15, d.RATE])
+def test_recall_by_length_and_rate_of_edits(m, rate):
+    rng = random.Random(f"{m} {rate}")
+    fresh = lambda n: [rng.randrange(1, 1 << 63) for _ in range(n)]
+    items = [fresh(m) for _ in range(200)]
+    group = d.Group(1 << (m.bit_length() - 1), [(i, np.array(x, np.uint64)) for i, x in enumerate(items)], d.RATE)
+    windows = []
+    for item in items:
+        text = list(item)
+        for _ in range(int(rate * m)):
+            i = rng.randrange(len(text))
+            taken, given = rng.choice([(1, 1), (1, 0), (0, 1)])
+            text[i : i + taken] = fresh(given)
+        windows.append((text + fresh(group.width))[: group.width])
+    windows = np.array(windows, np.uint64)
+    near = {(int(w), int(i)) for w, i in zip(*group.verified(windows, np.arange(200), np.arange(200))[:2])}
+    assert len(near) > 190
+    found = set(zip(*(x.tolist() for x in group.candidates(windows))))
+    assert len(near & found) >= 0.95 * len(near)
