@@ -16,7 +16,8 @@ least m - 1 - 2 k of its word pairs with the window.  This loses nothing, and le
 
 The benchmark is read in blocks of BLOCK bytes; every block meets all documents in a pass that
 shuffles nothing.  Null or empty texts match nothing, nor do items of fewer than two words; repeated document
-rows give a row each, equal (item_id, text) rows count once; other columns are ignored.
+rows give a row each, equal (item_id, text) rows count once; other columns are ignored.  Rows of the benchmark without
+item_id are searched like others, each as an item of its own, and reported with a null item_id.
 """
 
 from __future__ import annotations
@@ -153,10 +154,16 @@ def _owned(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """One block of the benchmark."""
+    """One block of the benchmark; an item's number is its place in ids, where those without id have a place for each row."""
 
-    def __init__(self, rows: list[tuple[int, str]], rate: float = RATE) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], rate: float = RATE) -> None:
         found: dict[int, list] = {}
+        places = {i: n for n, i in enumerate(dict.fromkeys(i for i, _ in rows if i is not None))}
+        numbers, self.ids = [], list(places)
+        for i, _ in rows:
+            numbers.append(len(self.ids) if i is None else places[i])
+            if i is None:
+                self.ids.append(None)
         pairs = [np.zeros(0, np.uint64)]
         for chunk in textkit.chunks(pa.array([t for _, t in rows], pa.string())):
             doc, h = words_of(chunk)
@@ -165,7 +172,7 @@ class Items:
             for i in range(chunk.n):
                 own = h[cuts[i] : cuts[i + 1]]
                 if len(own) >= 2:
-                    found.setdefault(1 << (len(own).bit_length() - 1), []).append((rows[chunk.first + i][0], own))
+                    found.setdefault(1 << (len(own).bit_length() - 1), []).append((numbers[chunk.first + i], own))
         self.groups = [Group(short, items, rate) for short, items in sorted(found.items())]
         self.pairs = np.unique(np.concatenate(pairs))
         self.seen = np.zeros(1 << 20, bool)
@@ -190,7 +197,7 @@ class Items:
         return np.unique(np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times))
 
     def search(self, chunk: textkit.Chunk) -> np.ndarray:
-        """Rows (text, item_id, distance, m, first word, word after the last): the best match of each text and item."""
+        """Rows (text, number of the item, distance, m, first word, word after the last): the best match of each text and item."""
         doc, h = words_of(chunk)
         at, pair = textkit.ngrams(h, doc, 2)
         hits = self._places(at, pair)
@@ -216,14 +223,15 @@ class Items:
 def _searched(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        item_ids = pa.array(items.ids, pa.int64())
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         names = [c.split()[0] for c in FOUND.split(", ")]
         for batch in batches:
             for chunk in textkit.chunks(batch.column(1)):
                 rows = items.search(chunk)
                 if len(rows):
                     ids = batch.column(0).take(pa.array(rows[:, 0] + chunk.first))
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(rows[:, i + 1]).cast(k) for i, k in enumerate(kinds)]], names)
+                    yield pa.RecordBatch.from_arrays([ids, item_ids.take(pa.array(rows[:, 1])), *[pa.array(rows[:, i + 2]).cast(k) for i, k in enumerate(kinds)]], names)
 
     return run
 
@@ -242,11 +250,11 @@ def _clean(shared, text: int):
 
 def _blocks(benchmark: DataFrame, rate: float, block: int) -> Iterator:
     """The benchmark as broadcasts of about block bytes of text each."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     n = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // block
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items(sorted(map(tuple, rows)), rate))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:

@@ -117,3 +117,13 @@ def test_recall_by_length_and_rate_of_edits(m, rate):
     assert len(near) > 190
     found = set(zip(*(x.tolist() for x in group.candidates(windows))))
     assert len(near & found) >= 0.95 * len(near)
+
+
+def test_items_without_id_are_searched(spark):
+    one, two, three = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black pink")
+    docs = spark.createDataFrame([(1, f"x {one} y {two}"), (2, f"{three} z"), (3, "nothing of it")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, one), (None, one), (None, two), (0, three)], "item_id bigint, text string")
+    for block in (d.BLOCK, 20):
+        got = d.find_passages(docs, bench, block=block).collect()
+        assert sorted((r.doc_id, str(r.item_id), r.item_words) for r in got) == [(1, "None", 6), (1, "None", 7), (2, "0", 6)]
+        assert [r.doc_id for r in d.clean_documents(docs, bench, block=block).collect()] == [3]
