@@ -12,7 +12,8 @@ in it and are fetched afterwards by record id.
 
 Records at the same time are ordered by record_id, and a response with the revisit's own time and a smaller id
 counts as earlier.  Null times come first; a null or unparsable URL matches nothing; null headers are none; repeated rows
-give a row each; columns besides those named are ignored.  record_id must name one response.
+give a row each; columns besides those named are ignored.  record_id must name one response; revisits may
+share one or have none, and each is judged by its own headers.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def resolve_revisits(records: DataFrame, payload: bool = False, slices: int = SL
     named = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "status", _headers(F.col("headers")).alias("headers"))
     cuts = F.percentile_approx("ts", [i / slices for i in range(1, slices)], 10_000)
     bounds = F.array(*[F.lit(x) for x in named.agg(cuts).first()[0] or []]).cast("array<bigint>")
-    light = named.select("record_id", "canonical_url", "ts", ((F.col("kind") == "response") & (F.col("status") == 200)).alias("full"), (F.col("kind") == "revisit").alias("again"))
+    light = named.select("record_id", "canonical_url", "ts", F.when(F.col("kind") == "revisit", F.col("headers")).alias("own_headers"), ((F.col("kind") == "response") & (F.col("status") == 200)).alias("full"), (F.col("kind") == "revisit").alias("again"))
     light = light.filter("full or again").withColumn("slice", F.size(F.filter(bounds, lambda x: x < F.col("ts"))))
     inside = Window.partitionBy("canonical_url", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     response = F.when(F.col("full"), F.col("record_id"))
@@ -79,11 +80,10 @@ def resolve_revisits(records: DataFrame, payload: bool = False, slices: int = SL
     slots = ends.unionByName(near.filter("near is null and canonical_url is not null").select("canonical_url", "slice").distinct().withColumn("end", F.lit(None).cast("bigint")))
     slots = slots.groupBy("canonical_url", "slice").agg(F.max("end").alias("end"))
     carried = slots.withColumn("before", F.last("end", ignorenulls=True).over(Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).select("canonical_url", "slice", "before")
-    found = near.join(carried, ["canonical_url", "slice"], "left").select("record_id", "canonical_url", F.when(F.col("canonical_url").isNotNull(), F.coalesce("near", "before")).alias("response_id"))
-    own = named.filter("kind = 'revisit'").select("record_id", F.col("headers").alias("own_headers")).groupBy("record_id").agg(F.first("own_headers").alias("own_headers"))
+    found = near.join(carried, ["canonical_url", "slice"], "left").select("record_id", "canonical_url", "own_headers", F.when(F.col("canonical_url").isNotNull(), F.coalesce("near", "before")).alias("response_id"))
     of = records.filter("kind = 'response' and status = 200").select(F.col("record_id").alias("response_id"), _headers(F.col("headers")).alias("old_headers"), *(["payload"] if payload else []))
     of = of.groupBy("response_id").agg(*[F.first(c).alias(c) for c in of.columns[1:]])
-    both = found.join(own, "record_id").join(of, "response_id", "left")
+    both = found.join(of, "response_id", "left")
     tag, date = _tag(F.col("own_headers")), F.try_element_at("own_headers", F.lit("last-modified"))
     same = F.when(tag.isNotNull(), tag == _tag(F.col("old_headers"))).otherwise(date == F.try_element_at("old_headers", F.lit("last-modified")))
     outcome = F.when(F.col("response_id").isNull(), "no_response").when(tag.isNull() & date.isNull(), "no_validator").when(F.coalesce(same, F.lit(False)), "resolved").otherwise("mismatch")

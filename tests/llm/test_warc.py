@@ -70,3 +70,11 @@ def test_headers_that_may_change(spark):
 
 def test_query_has_every_outcome(spark):
     assert {r.outcome for r in q.op4_revisits(spark, "/root/testdata/sf0.01").select("outcome").distinct().collect()} == {"resolved", "mismatch", "no_validator", "no_response"}
+
+
+def test_revisits_without_or_with_a_common_id(spark):
+    rows = [(1, "http://a.b/", 1, "response", 200, {"ETag": "1"}, "body")]
+    rows += [(i, "http://a.b/", ts, "revisit", 304, headers, None) for i, ts, headers in ((None, 2, {"etag": "1"}), (None, 3, {"etag": "2"}), (7, 4, {"etag": "1"}), (7, 4, {"etag": "2"}), (7, 5, None))]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).collect()
+    want = [(None, 1, "resolved"), (None, 1, "mismatch"), (7, 1, "resolved"), (7, 1, "mismatch"), (7, 1, "no_validator")]
+    assert sorted(((r.record_id, r.response_id, r.outcome) for r in got), key=str) == sorted(want, key=str)
