@@ -53,3 +53,12 @@ def test_query(spark):
     assert len(rows) == len(texts) and got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     for r in rows:
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute(texts[r.doc_id]))
+
+
+def test_long_secrets_are_found_whole():
+    part = "aB3_-x" * 2000
+    secrets = [f"eyJ{part}.{part}.{part}", f"ftp://{'u' * 500}:{'p' * 500}@", "ghp_" + "a1" * 400, "xoxb-" + "a1-" * 400, "sk_live_" + "Z9" * 400]
+    for secret in [*secrets, f"eyJ.eyJx{secrets[0]}"]:
+        text = f"see {secret} here"
+        assert [text[a:b] for a, _, b, _ in s.scan(pa.array([text]), s.MORE_RULES)[0]] == [secret.removeprefix("eyJ.")]
+    assert s.scan(pa.array(["eyJ" * 100_000]), s.MORE_RULES) == [[]]
