@@ -20,7 +20,8 @@ Set relations save the comparison of all pairs of a list:
    bound of the sets' difference.  The pairs that are left are compared exactly.
 3. Lists longer than BLOCK entries are dealt out as pairs of blocks, so that no task holds a whole hot list.
 
-No filter can drop a link: what is not compared is either connected already or ruled out by a bound.
+Components are exact: what is not compared is either connected already or ruled out by a bound.  The links are those that
+were needed to connect the components, not all similar pairs: pairs that are connected already are never compared.
 
 Sets are compared by 64-bit hashes of shingles and of sets.  A document with fewer words than n has its whole word
 sequence as the one shingle; without words or text its set is empty and it is linked with nothing.  Rows
@@ -375,7 +376,10 @@ def _blocks_of_pairs(least: int, forest: bool):
 
 
 def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(sets: doc_id, n_shingles, class; classes: class, rep, size; links: a, b, both; components: v, root) of classes."""
+    """(sets: doc_id, n_shingles, class; classes: class, rep, size; links: a, b, both; components: v, root) of classes.
+
+    links connect every component and hold similar pairs only, but not all of them: see above.
+    """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common_shingles(docs, n))
