@@ -9,7 +9,7 @@ under the 64-bit hash of (half and language, order, n-gram), kept as arrays sort
 
 The model grows with the corpus.  Up to MOST_ENTRIES entries the arrays go to the executors as a broadcast;
 beyond, the n-grams of documents are counted, joined with the model table and summed by document.  Both ways
-compute the same sums.
+compute the same sums, up to the float32 of the arrays (about 1e-4).
 
 A text's cross entropy (log perplexity), for each byte and for each word, is compared with the quartiles of all documents
 that the same model scores: outside [lower quartile - w * s, upper quartile + w * s] in either, it is rejected, where s is
