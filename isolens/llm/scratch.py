@@ -6,11 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
+#: Paths of the tables written inside each open passing() block, innermost last.
+_open: list[list[str]] = []
+#: On local disks every checksum file costs two more processes (chmod) and a file; scratch tables do without.  Other file systems ignore this.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +37,39 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**_PLAIN).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables saved inside are removed at the end, but for those given to the function that the block gets.
+
+    What is kept belongs to the block around this one.  Nothing that reads a removed table may leave the block.
+    """
+    mine: list[str] = []
+    _open.append(mine)
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in mine:
+            if path not in kept:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+        if _open:
+            _open[-1].extend(kept)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
