@@ -18,29 +18,34 @@ Set relations save the comparison of all pairs of a list:
    skipped whole when sizes and positions (tokens that follow the shared one) rule out every pair; single pairs are
    ruled out by sizes, positions, the leader's bound, and the distance of 512-bit parity sketches, a lower
    bound of the sets' difference.  The pairs that are left are compared exactly.
-3. Lists longer than BLOCK entries are dealt out as pairs of blocks, so that no task holds a whole hot list.
+3. Lists are never gathered: their lengths, leaders and components are counted by aggregation and joined back.  Lists longer
+   than BLOCK entries are cut into bands of similar sizes, of which only equal and neighbouring ones can hold similar sets,
+   and each pair of bands into blocks of BLOCK entries.  Entries of the component that has most of a band are paired with
+   the other entries alone, so a hot list of near copies costs its length times the number of blocks that the others fill.
 
 Components are exact: what is not compared is either connected already or ruled out by a bound.  The links are those that
 were needed to connect the components, not all similar pairs: pairs that are connected already are never compared.
 
 Sets are compared by 64-bit hashes of shingles and of sets.  A document with fewer words than n has its whole word
 sequence as the one shingle; without words or text its set is empty and it is linked with nothing.  Rows
-without doc_id are linked with nothing; repeated rows give a row each; columns besides doc_id and text are ignored.
+without doc_id are linked with nothing; repeated rows give a row each; columns besides doc_id and text are ignored; an empty
+table gives no rows.  A text of any length is one set; chunks of text bound the memory but for that of its own shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isolens.llm import textkit
 from isolens.llm.components import components, extended
-from isolens.llm.scratch import broadcast_up_to, saved
+from isolens.llm.scratch import broadcast_up_to, passing, saved
 
 MOST_COMMON = 200_000
 #: A task names a shingle common that it saw in so many of its documents.
@@ -49,6 +54,8 @@ BLOCK = 8192
 SKIP = 64
 MOST_WANTED = 2_000_000
 SKETCH = 512
+#: Classes or shingles that a task remembers, to say less twice; what it forgets costs time alone.
+REMEMBERED = 500_000
 
 #: Of lists up to this length all candidates are compared in the first round.
 SMALL = 32
@@ -135,16 +142,29 @@ def _common(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         held, held_n = [none], [np.zeros(0, np.int64)]
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            h, back = np.unique(np.concatenate(held), return_inverse=True)
+            return h, np.bincount(back, weights=np.concatenate(held_n), minlength=len(h)).astype(np.int64)
+
+        def named() -> pa.RecordBatch:
+            h, count = summed()
+            many = count >= COMMON
+            return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(count[many])], ["h", "n"])
+
         for batch in batches:
             for chunk in textkit.chunks(batch.column(0), 2 * textkit.CHUNK):
                 _, h = ordered_sets(chunk, n, none, none)
                 h, count = np.unique(h, return_counts=True)
                 held.append(h[count > 1])
                 held_n.append(count[count > 1])
-        h, back = np.unique(np.concatenate(held), return_inverse=True)
-        count = np.bincount(back, weights=np.concatenate(held_n), minlength=len(h)).astype(np.int64)
-        many = count >= COMMON
-        yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(count[many])], ["h", "n"])
+            if sum(map(len, held)) > REMEMBERED:
+                h, count = summed()
+                held, held_n = [h], [count]
+                if len(h) > REMEMBERED // 2:
+                    yield named()
+                    held, held_n = [none], [np.zeros(0, np.int64)]
+        yield named()
 
     return run
 
@@ -181,6 +201,7 @@ def _prefixes(n: int, least: int, shared):
                 first = named[np.unique(key[named], return_index=True)[1]]
                 new = np.zeros(chunk.n, bool)
                 new[[i for i in first if key[i] not in met]] = True
+                met = met if len(met) < REMEMBERED else set()
                 met.update(key[new].tolist())
                 prefix = np.where(new & (size > 0), size + (-least * size) // 100 + 1, 0)
                 place = np.arange(len(doc)) - begin[doc]
@@ -268,15 +289,15 @@ def _spanning(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[int]:
 
 
 def _blocks_of_pairs(least: int, forest: bool):
-    """Pairs of one list (a row of each entry, its blocks in lo and hi) that no bound rules out, or a spanning forest of them."""
-    names = ["token", "lo", "hi", "block", "class", "size", "pos", "component", "led"]
+    """Pairs of each group of a list (a row of each entry) that no bound rules out, or a spanning forest of them; all pairs in block 0, else those across blocks."""
+    names = ["token", "group", "block", "class", "size", "pos", "component", "led"]
 
     def candidates(g: dict, sketch: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(x, y, sketch distance as a share of what similar sets may have), block by block."""
         size, rest = g["size"], g["size"] - g["pos"]
         starts = np.arange(0, len(size), SKIP)
         smallest, largest, longest = size[starts], np.maximum.reduceat(size, starts), np.maximum.reduceat(rest, starts)
-        one = g["lo"][0] == g["hi"][0]
+        one = not g["block"].any()
         for i, s in enumerate(starts):
             x = slice(s, s + SKIP)
             # blocks from this one on, while sizes and positions allow a similar pair
@@ -347,7 +368,7 @@ def _blocks_of_pairs(least: int, forest: bool):
             g = {k: t.column(k).to_numpy() for k in names}
             sketch = t.column("sketch").combine_chunks()
             sketch = (sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
-            new = np.flatnonzero((np.diff(g["token"]) != 0) | (np.diff(g["lo"]) != 0) | (np.diff(g["hi"]) != 0)) + 1
+            new = np.flatnonzero((np.diff(g["token"]) != 0) | (np.diff(g["group"]) != 0)) + 1
             cuts = np.concatenate([[0], new, [len(sketch)]])
             n = np.diff(cuts)
             group = np.repeat(np.arange(len(n)), n)
@@ -363,7 +384,7 @@ def _blocks_of_pairs(least: int, forest: bool):
             t = pa.concat_tables([rest, t]) if rest is not None else t
             if not t.num_rows:
                 continue
-            keys = [t.column(k).to_numpy() for k in ("token", "lo", "hi")]
+            keys = [t.column(k).to_numpy() for k in ("token", "group")]
             last = np.logical_and.reduce([k == k[-1] for k in keys])
             cut = t.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
             if cut:
@@ -375,6 +396,52 @@ def _blocks_of_pairs(least: int, forest: bool):
     return run
 
 
+def _band(size: Column, least: int) -> Column:
+    """The band of a size: two sets of which the larger has at most 100 / least times the shingles are in equal or neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / (math.log(100 / least) + 1e-6))
+
+
+def _bands(long: DataFrame, least: int) -> DataFrame:
+    """For each band of the lists (token, class, size, component): main, its component of most entries, and how many blocks it and the rest fill."""
+    of_component = long.groupBy("token", _band(F.col("size"), least).alias("band"), "component").agg(F.count(F.lit(1)).alias("k"))
+    of = of_component.groupBy("token", "band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k"))
+    return of.select("token", "band", "main", F.ceil(F.col("most") / BLOCK).alias("mains"), F.ceil((F.col("k") - F.col("most")) / BLOCK).alias("others"))
+
+
+def _dealt(own: DataFrame, bands: DataFrame, least: int) -> DataFrame:
+    """own (token, class, size, component, n, ...), each entry once for every group in which it meets others: with group, and block in it.
+
+    A list of up to BLOCK entries is one group, of block 0.  Of longer lists, two entries of different components whose sizes
+    allow a similar pair meet in exactly one group; its entries are of one block (0 again: all pairs) or of two, which are paired
+    across.  Blocks are numbered from 0 up, those of the main component from -1 down.
+    """
+    columns = [c for c in own.columns if c != "n"]
+    if bands.isEmpty():
+        return own.select(*columns, F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("block"))
+    beside = lambda by, name: bands.select("token", (F.col("band") - by).alias("band"), *[F.col(c).alias(f"{name}_{c}") for c in ("main", "mains", "others")])
+    around = bands.join(beside(1, "up"), ["token", "band"], "left").join(beside(-1, "down"), ["token", "band"], "left")
+    at = own.withColumn("band", F.when(F.col("n") > BLOCK, _band(F.col("size"), least))).join(broadcast_up_to(saved(around, "around"), MOST_WANTED), ["token", "band"], "left")
+    is_main, band, spread = F.col("component") == F.col("main"), F.col("band"), F.xxhash64("class")
+    at = at.withColumn("own", F.when(is_main, -1 - F.pmod(spread, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(spread, F.greatest("others", F.lit(1)))))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    all_of = lambda mains, others: F.concat(F.transform(upto(F.col(mains)), lambda x: -1 - x), upto(F.col(others)))
+    met = {
+        0: F.when(is_main, upto(F.col("others"))).otherwise(all_of("mains", "others")),
+        1: F.when(is_main & (F.col("main") == F.col("up_main")), upto(F.col("up_others"))).otherwise(all_of("up_mains", "up_others")),
+        -1: F.when(is_main & (F.col("main") == F.col("down_main")), upto(F.col("down_others"))).otherwise(all_of("down_mains", "down_others")),
+    }
+    side = lambda band, x: F.struct(band.alias("band"), x.alias("block"))
+
+    def pairs(by: int, blocks: Column) -> Column:
+        mine = side(band, F.col("own"))
+        return F.transform(blocks, lambda x: F.struct(F.least(mine, side(band + by, x)).alias("lo"), F.greatest(mine, side(band + by, x)).alias("hi")))
+
+    kind = "array<struct<lo:struct<band:bigint,block:bigint>,hi:struct<band:bigint,block:bigint>>>"
+    at = at.withColumn("pair", F.explode(F.when(F.col("main").isNull(), F.array(F.lit(None)).cast(kind)).otherwise(F.concat(*[pairs(by, blocks) for by, blocks in met.items()]))))
+    within = F.col("pair").isNull() | (F.col("pair.lo") == F.col("pair.hi"))
+    return at.select(*columns, F.when(F.col("pair").isNull(), F.lit(0)).otherwise(F.xxhash64("pair")).alias("group"), F.when(within, F.lit(0)).otherwise(F.xxhash64("band", "own")).alias("block"))
+
+
 def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sets: doc_id, n_shingles, class; classes: class, rep, size; links: a, b, both; components: v, root) of classes.
 
@@ -382,59 +449,66 @@ def join_classes(docs: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFr
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common_shingles(docs, n))
-    sets = saved(docs.mapInArrow(_prefixes(n, least, shared), SETS), "sets")
-    grouped = sets.filter("class is not null").groupBy("class")
-    info = saved(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
-    entries = sets.filter("class is not null").select("class", F.posexplode("prefix").alias("pos", "token")).repartition("token").dropDuplicates(["token", "class"])
-    by_token = Window.partitionBy("token")
-    lists = saved(entries.withColumn("leader", F.min("class").over(by_token)).withColumn("n", F.count(F.lit(1)).over(by_token)).filter("n > 1"), "lists")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """The pairs, with sizes, that sizes and wide sketches do not rule out."""
-        of = lambda end: info.select(F.col("class").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}"))
-        both = pairs.join(of("b"), "b").join(of("a"), "a").filter(_fits(F.col("size_a"), F.col("size_b"), least))
-        return both.select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(_near(least), "a bigint, b bigint, size_a bigint, size_b bigint")
-
-    led = saved(plausible(lists.filter("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()), "pairs")
-    led = saved(_compared(docs, info, led, n), "led")
-    similar = F.col("both") * 100 >= least * (F.col("size_a") + F.col("size_b") - F.col("both"))
-    first_links = led.filter(similar).select("a", "b", "both")
-    roots = components(first_links)
-
-    answers = led.select(F.col("a").alias("leader"), F.col("b").alias("class"), F.col("both").alias("led"))
-    known = lists.join(answers, ["leader", "class"], "left").withColumn("led", F.when(F.col("leader") == F.col("class"), F.lit(-2)).otherwise(F.coalesce("led", F.lit(-1))).cast("long"))
-
-    def open_pairs(roots: DataFrame, tried: DataFrame, forest: bool) -> DataFrame:
-        """Pairs of classes of different components that may be similar and were not compared."""
-        own = known.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class"))
-        own = own.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token)).filter("low <> high")
-        own = own if forest else own.filter(F.col("n") > SMALL)
-        own = own.join(info.select("class", "size", "sketch"), "class").withColumn("led", F.when(F.col("led") == -2, F.col("size")).otherwise(F.col("led")))
-        n_blocks = F.ceil(F.col("n") / BLOCK)
-        own = own.withColumn("block", F.pmod(F.xxhash64("class"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        own = own.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "size", F.col("pos").cast("long").alias("pos"), "component", "led", "sketch")
-        own = own.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-        found = own.mapInArrow(_blocks_of_pairs(least, forest), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-        return saved(plausible(found), "open")
-
-    tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = first_links
-    for forest in (True, False):
-        more = open_pairs(roots, tried, forest)
-        if more.isEmpty():
-            continue
-        found = saved(_compared(docs, info, more, n).filter(similar).select("a", "b", "both"), "links")
-        tried = tried.unionByName(more.select("a", "b"))
-        if not found.isEmpty():
-            links, roots = links.unionByName(found), extended(roots, found)
+    with passing(spark) as keep:
+        shared = spark.sparkContext.broadcast(common_shingles(docs, n))
+        sets = keep(saved(docs.mapInArrow(_prefixes(n, least, shared), SETS), "sets"))
+        grouped = sets.filter("class is not null").groupBy("class")
+        prefix = F.first(F.when(F.size("prefix") > 0, F.col("prefix")), ignorenulls=True)
+        info = keep(saved(grouped.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), prefix.alias("prefix")), "classes"))
+        entries = info.select("class", F.posexplode("prefix").alias("pos", "token"))
+        # counted by partial sums, so a hot list is one row for each task; the join splits what is skewed
+        counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("leader")).filter("n > 1")
+        lists = saved(entries.join(counts, "token"), "lists")
+
+        def plausible(pairs: DataFrame) -> DataFrame:
+            """The pairs, with sizes, that sizes and wide sketches do not rule out."""
+            of = lambda end: info.select(F.col("class").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}"))
+            both = pairs.join(of("b"), "b").join(of("a"), "a").filter(_fits(F.col("size_a"), F.col("size_b"), least))
+            return both.select("a", "b", "size_a", "size_b", "wide_a", "wide_b").mapInArrow(_near(least), "a bigint, b bigint, size_a bigint, size_b bigint")
+
+        led = saved(plausible(lists.filter("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()), "pairs")
+        led = keep(saved(_compared(docs, info, led, n), "led"))
+        similar = F.col("both") * 100 >= least * (F.col("size_a") + F.col("size_b") - F.col("both"))
+        first_links = led.filter(similar).select("a", "b", "both")
+        roots = components(first_links)
+
+        answers = led.select(F.col("a").alias("leader"), F.col("b").alias("class"), F.col("both").alias("led"))
+        known = lists.join(answers, ["leader", "class"], "left").withColumn("led", F.when(F.col("leader") == F.col("class"), F.lit(-2)).otherwise(F.coalesce("led", F.lit(-1))).cast("long"))
+
+        def open_pairs(roots: DataFrame, tried: DataFrame, forest: bool) -> DataFrame:
+            """Pairs of classes of different components that may be similar and were not compared."""
+            placed = lambda of: of.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("component", F.coalesce("root", "class")).drop("root")
+            mixed = placed(lists.select("token", "class")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+            sized = info.select("class", "size", "sketch")
+            long = placed(lists.filter(F.col("n") > BLOCK).select("token", "class").join(mixed.select("token"), "token", "left_semi")).join(sized.drop("sketch"), "class")
+            bands = saved(_bands(long, least), "bands")
+            own = placed(known.join(mixed.select("token"), "token", "left_semi"))
+            own = own if forest else own.filter(F.col("n") > SMALL)
+            own = own.join(sized, "class").withColumn("led", F.when(F.col("led") == -2, F.col("size")).otherwise(F.col("led")))
+            own = own.select("token", "class", "size", F.col("pos").cast("long").alias("pos"), "component", "led", "sketch", "n")
+            dealt = _dealt(own, bands, least).repartition("token", "group").sortWithinPartitions("token", "group")
+            found = dealt.select("token", "group", "block", "class", "size", "pos", "component", "led", "sketch").mapInArrow(_blocks_of_pairs(least, forest), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
+            return saved(plausible(found), "open")
+
+        tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = first_links
+        for forest in (True, False):
+            more = open_pairs(roots, tried, forest)
+            if more.isEmpty():
+                continue
+            found = keep(saved(_compared(docs, info, more, n).filter(similar).select("a", "b", "both"), "links"))
+            tried = tried.unionByName(more.select("a", "b"))
+            if not found.isEmpty():
+                links, roots = links.unionByName(found), extended(roots, found)
+        keep(roots)
     return sets.select("doc_id", "n_shingles", "class"), info.select("class", "rep", "size"), links, roots
 
 
 def similar_documents(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for every row of docs."""
-    sets, classes, _, roots = join_classes(docs, n, least)
-    placed = classes.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = saved(placed.join(smallest, "root").select("class", "component_id"), "of_class")
-    return sets.join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    with passing(docs.sparkSession) as keep:
+        sets, classes, _, roots = join_classes(docs, n, least)
+        placed = classes.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+        of_class = placed.join(smallest, "root").select("class", "component_id")
+        return keep(saved(sets.join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "similar"))
