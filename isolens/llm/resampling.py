@@ -2,19 +2,19 @@
 
 Texts become bags of hashed unigrams and bigrams (words and runs of punctuation, lower-cased).  Two
 generative models are estimated over 2^BITS buckets: one for target texts, the rows labelled of good quality
-(a bounded sample: MOST_LABELLED, the first by hash of doc_id), and one for raw text, counted over all
-documents.  A text's log importance weight is the sum of log ratios of its n-grams; the target model is
-smoothed towards the raw one, so that a bucket of which nothing is known says nothing.  The n-grams of a text
-are not independent: of more than SPAN the weight is their mean times SPAN, so that a slight bias of the
-labelled sample (towards a language, say) does not add up over a long text.
+(a bounded sample: of MOST_LABELLED labelled rows, the first by hash of doc_id), and one for raw text, counted over all
+documents.  A text's log importance weight is the log ratio of its probabilities in the two: the sum of the log ratios
+of its n-grams, whatever their number.  The target model is smoothed towards the raw one, so that a bucket of which
+nothing is known says nothing.
 
 A sample without replacement of size k is drawn by Gumbel top-k: each row's key is its log weight plus
-a Gumbel variable from a hash of its id, and the k largest keys are selected.  k defaults to the
-number of texts whose log weight is over LEAST, for which target text is at most exp(-LEAST) times rarer.  The k-th key is found exactly by
-counting the keys of ever smaller intervals, so nothing is sorted or gathered.
+a Gumbel variable from a hash of its id, and the k largest keys are selected.  k defaults to a share of the rows: that of
+good texts among the labelled.  The k-th key is found exactly by counting the keys of ever smaller intervals, so nothing
+is sorted or gathered.
 
-A null or empty text has weight 1; equal keys at the threshold are selected together; repeated rows
-give a row each; without good labels every weight is 1 and all rows are selected.
+A null or empty text has weight 1 (log weight 0); equal keys at the threshold are selected together; repeated rows
+give a row each; without good labels every weight is 1 and all rows are selected; an empty table gives no rows.  A text of
+any length is weighed whole.  resample ignores columns besides doc_id and text, select_rows returns them as they are.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ BITS = 15
 MOST_LABELLED = 20_000
 #: Observations in each bucket, at the raw model's rate, that the target model starts from.
 PRIOR = 8.0
-SPAN = 100
-LEAST = -4.0
 
 _CLASS = np.array([0 if textkit.SPACE[b] else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 
@@ -69,11 +67,9 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """log of target over raw probability, each drawn towards 0 by its standard error: what chance explains says nothing."""
+    """log of target over raw probability of each bucket."""
     expected = target.sum() * raw / max(raw.sum(), 1)
-    ratio = np.log((target + prior) / (expected + prior))
-    error = np.sqrt(1 / (target + prior) + 1 / (expected + prior))
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - error, 0)
+    return np.log((target + prior) / (expected + prior))
 
 
 def _weighed(ratios: np.ndarray, text: int, names: list[str]):
@@ -82,7 +78,7 @@ def _weighed(ratios: np.ndarray, text: int, names: list[str]):
             for chunk in textkit.chunks(batch.column(text)):
                 doc, bucket = features(chunk)
                 n = np.bincount(doc, minlength=chunk.n)
-                weight = np.bincount(doc, weights=ratios[bucket], minlength=chunk.n) * np.minimum(1, SPAN / np.maximum(n, 1))
+                weight = np.bincount(doc, weights=ratios[bucket], minlength=chunk.n)
                 own = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n), pa.array(weight)], names)
 
@@ -120,24 +116,27 @@ def kth_largest(keys: DataFrame, k: int) -> float:
         low, high = r.low, r.high
 
 
-def _fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log ratio of each bucket."""
+def _fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """The log ratio of each bucket, and the share of good texts among the labelled."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = docs.select("doc_id").join(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).hint("broadcast"), "doc_id")
     known = saved(known.distinct(), "labelled")
     target = bucket_counts(docs.join(F.broadcast(known.filter("quality = 1")), "doc_id"))
-    return log_ratios(target, bucket_counts(docs)) if target.any() else np.zeros(1 << BITS)
+    if not target.any():
+        return np.zeros(1 << BITS), 1.0
+    share = known.agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
+    return log_ratios(target, bucket_counts(docs)), share
 
 
 def _key(seed: int) -> Column:
     return F.col("log_weight") + gumbel(F.col("doc_id"), seed)
 
 
-def _threshold(keyed: DataFrame, k: int | None) -> float:
+def _threshold(keyed: DataFrame, k: int | None, share: float) -> float:
     """The least key that is selected."""
-    if k is None:
-        k = keyed.filter(F.col("log_weight") > LEAST).count()
-    if k >= keyed.count():
+    n = keyed.count()
+    k = math.ceil(share * n) if k is None else k
+    if k >= n:
         return -math.inf
     return kth_largest(keyed.select("key"), k) if k > 0 else math.inf
 
@@ -145,13 +144,14 @@ def _threshold(keyed: DataFrame, k: int | None) -> float:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:
     """doc_id, n_features, log_weight, key and selected for every row of docs."""
     docs = docs.select("doc_id", "text")
-    keyed = saved(weigh(docs, _fit(docs, labels)).select("doc_id", "n_features", "log_weight", _key(seed).alias("key")), "keyed")
-    return keyed.withColumn("selected", F.col("key") >= _threshold(keyed, k))
+    ratios, share = _fit(docs, labels)
+    keyed = saved(weigh(docs, ratios).select("doc_id", "n_features", "log_weight", _key(seed).alias("key")), "keyed")
+    return keyed.withColumn("selected", F.col("key") >= _threshold(keyed, k, share))
 
 
 def select_rows(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:
     """The rows of docs that are selected, as they are.  Texts are weighed once for the threshold and once for the selection, which costs less than a join."""
     own = docs.select("doc_id", "text")
-    ratios = _fit(own, labels)
-    least = _threshold(saved(weigh(own, ratios).select("log_weight", _key(seed).alias("key")), "keyed"), k)
+    ratios, share = _fit(own, labels)
+    least = _threshold(saved(weigh(own, ratios).select(_key(seed).alias("key")), "keyed"), k, share)
     return weigh(apart(docs, "doc_id", "text"), ratios).filter(_key(seed) >= least).drop("n_features", "log_weight").toDF(*docs.columns)

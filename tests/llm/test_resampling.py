@@ -1,7 +1,13 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from isolens.llm import resampling as r
+from isolens.llm import textkit
 from isolens.llm.queries import op2_resampling
 
 
@@ -32,6 +38,43 @@ def test_weights_tell_target_from_raw(spark):
     assert r.resample(docs.union(docs), labels).count() == 804
 
 
+def bucket(words):
+    """The bucket of one unigram or bigram, asked for alone."""
+    chunk = next(textkit.chunks(pa.array([" ".join(words)])))
+    return int(r.features(chunk)[1][-1])
+
+
+def test_weights_equal_brute_force(spark):
+    """n-grams by a regular expression, counts by dictionaries, the whole text's log probability ratio; long texts too."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)] + ["Été", "ÄB", "&&&", "!?"]
+    texts = {i: " ".join(rng.choice(words, int(rng.choice([0, 1, 3, 40, 700])), p=None)) for i in range(120)}
+    labels = {i: int(i % 3 > 0) for i in range(0, 120, 2)}
+    grams = {}
+    for i, text in texts.items():
+        parts = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff\s]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        grams[i] = [(w,) for w in parts] + list(zip(parts, parts[1:]))
+    known = {g: bucket(g) for own in grams.values() for g in own}
+    raw, target = Counter(known[g] for own in grams.values() for g in own), Counter(known[g] for i, own in grams.items() if labels.get(i) for g in own)
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + r.PRIOR) / (scale * raw[b] + r.PRIOR)) for b in raw}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    rows = r.resample(docs, spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")).collect()
+    for x in rows:
+        assert x.n_features == len(grams[x.doc_id]) and abs(x.log_weight - sum(ratio[known[g]] for g in grams[x.doc_id])) < 1e-9
+    k = math.ceil(sum(labels.values()) / len(labels) * len(rows))
+    assert {x.doc_id for x in rows if x.selected} == {x.doc_id for x in sorted(rows, key=lambda x: -x.key)[:k]}
+
+
+def test_ties_at_the_threshold_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "same words"), (1, "same words"), (2, "ba " * 300_000), (3, "&& " * 2000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id bigint, quality int")
+    rows = r.resample(docs, labels, k=2).collect()
+    assert len(rows) == 4 and sum(x.selected for x in rows if x.doc_id == 1) in (0, 2)
+    best = sorted((x.key for x in rows), reverse=True)[1]
+    assert all(x.selected == (x.key >= best) for x in rows)
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
