@@ -7,23 +7,27 @@ do not count.
 Items are grouped by length (a power of two and up), and the windows at a document's words are embedded by CGK random
 walks: a walk reads the word under its pointer at each step and moves on if a random function of step
 and word says so, which turns edit distance into Hamming distance.  Each of TABLES bit-sampling tables for each
-of WALKS walks (more for items of 512 words and up, whose walks drift further apart) takes SAMPLED steps, of those in which the pointer is still inside the items of the group, as its
+walk takes SAMPLED steps, of those in which the pointer is still inside the items of the group, as its
 key.  A window and an item that agree in any key are compared exactly: by their common word pairs, then by
-dynamic programming with a free end.
+dynamic programming with a free end.  How many walks a group needs follows from the wanted recall: its own walks are tried on
+random items of the group's lengths with as many random edits as the limit allows, until they find that share of them.
 
 Of all windows only those are embedded that pass the q-gram lemma: an item within k word edits shares at
 least m - 1 - 2 k of its word pairs with the window.  This loses nothing, and leaves few windows in clean text.
 
-The benchmark is read in blocks of BLOCK bytes; every block meets all documents in a pass that
+The benchmark is read in blocks of about BLOCK bytes, all rows of an item in one; every block meets all documents in a pass that
 shuffles nothing.  Null or empty texts match nothing, nor do items of fewer than two words; repeated document
-rows give a row each, equal (item_id, text) rows count once; other columns are ignored.  Rows of the benchmark without
-item_id are searched like others, each as an item of its own, and reported with a null item_id.
+rows give a row each, equal (item_id, text) rows count once; other columns are ignored; an empty table of either kind gives no
+matches.  A text of any length is searched whole.  Of several matches of an item in a document the one of least distance is reported, then the
+first, then the shortest.  Rows of the benchmark without item_id are searched like others, each as an item of its own, and reported
+with a null item_id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from isolens.llm import textkit
 
 RATE = 0.2
-WALKS, TABLES, SAMPLED = 16, 12, 3
+TABLES, SAMPLED = 12, 3
+#: Wanted share of the passages at the edit limit, and the trials for each of three lengths of a group.
+RECALL, TRIALS = 0.98, 200
 BLOCK = 2 << 20
 #: Windows embedded at once.
 SLICE = 4096
@@ -50,10 +56,6 @@ def words_of(chunk: textkit.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return at.doc, textkit.Hasher(low)(at.start, at.end)
 
 
-def walks(short: int) -> int:
-    return max(WALKS, short // 16)
-
-
 def embed(windows: np.ndarray, walk: int, short: int) -> np.ndarray:
     """Keys of the tables of one walk for items of short words or more: windows (n, width) become (n, TABLES) hashes."""
     n, width = windows.shape
@@ -97,10 +99,41 @@ def edits(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray,
     return row[np.arange(n), end], end
 
 
+def _edited(rng: np.random.Generator, m: int, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An item of m words that occur once, and a window of width words that begins with it after k random edits."""
+    item = rng.integers(1, 1 << 63, m, dtype=np.uint64)
+    text = item.tolist()
+    for _ in range(k):
+        at = rng.integers(len(text))
+        taken, given = ((1, 1), (1, 0), (0, 1))[rng.integers(3)]
+        text[at : at + taken] = rng.integers(1, 1 << 63, given, dtype=np.uint64).tolist()
+    more = rng.integers(1, 1 << 63, width, dtype=np.uint64)
+    return item, np.concatenate([np.array(text, np.uint64), more])[:width]
+
+
+@lru_cache(maxsize=256)
+def walks(short: int, rate: float, recall: float) -> int:
+    """The number of walks that finds the wanted share of edited items of short words and more, at each of three lengths."""
+    rng = np.random.default_rng(short)
+    lengths = sorted({short, short + short // 2, 2 * short - 1})
+    cases = []
+    for m in lengths:
+        k = int(rate * m)
+        rows = [_edited(rng, m, k, m + k) for _ in range(TRIALS)]
+        items = np.zeros((TRIALS, 2 * short - 1), np.uint64)
+        items[:, :m] = [x for x, _ in rows]
+        cases.append((items, np.array([x for _, x in rows]), np.zeros(TRIALS, bool)))
+    for n in count(1):
+        for items, windows, found in cases:
+            found |= (embed(items, n - 1, short) == embed(windows, n - 1, short)).any(axis=1)
+        if min(found.mean() for _, _, found in cases) >= recall:
+            return n
+
+
 class Group:
     """Items of short up to 2 * short - 1 words: hashes padded with zeros, their word pairs, keys in all tables."""
 
-    def __init__(self, short: int, items: list[tuple[int, np.ndarray]], rate: float) -> None:
+    def __init__(self, short: int, items: list[tuple[int, np.ndarray]], rate: float, recall: float = RECALL) -> None:
         self.short = short
         self.ids = np.array([i for i, _ in items], np.int64)
         self.length = np.array([len(x) for _, x in items])
@@ -113,7 +146,7 @@ class Group:
         pairs = [_owned(textkit.ngrams(x, np.zeros(len(x), np.int64), 2)[1], np.array([i], np.uint64)) for i, (_, x) in enumerate(items)]
         self.pairs = np.unique(np.concatenate(pairs))
         self.tables = []
-        for walk in range(walks(short)):
+        for walk in range(walks(short, rate, recall)):
             keys = embed(self.words, walk, short)
             by = np.argsort(keys, axis=0, kind="stable")
             self.tables.append([(keys[by[:, t], t], by[:, t]) for t in range(TABLES)])
@@ -156,7 +189,9 @@ def _owned(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
 class Items:
     """One block of the benchmark; an item's number is its place in ids, where those without id have a place for each row."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], rate: float = RATE) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], rate: float = RATE, recall: float = RECALL) -> None:
+        if not 0 <= rate < 0.5:
+            raise ValueError("rate must be below 0.5: beyond, an item need not share any word pair with its passage")
         found: dict[int, list] = {}
         places = {i: n for n, i in enumerate(dict.fromkeys(i for i, _ in rows if i is not None))}
         numbers, self.ids = [], list(places)
@@ -173,7 +208,7 @@ class Items:
                 own = h[cuts[i] : cuts[i + 1]]
                 if len(own) >= 2:
                     found.setdefault(1 << (len(own).bit_length() - 1), []).append((numbers[chunk.first + i], own))
-        self.groups = [Group(short, items, rate) for short, items in sorted(found.items())]
+        self.groups = [Group(short, items, rate, recall) for short, items in sorted(found.items())]
         self.pairs = np.unique(np.concatenate(pairs))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
@@ -248,23 +283,24 @@ def _clean(shared, text: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, rate: float, block: int) -> Iterator:
-    """The benchmark as broadcasts of about block bytes of text each."""
+def _blocks(benchmark: DataFrame, rate: float, block: int, recall: float) -> Iterator:
+    """The benchmark as broadcasts of about block bytes of text each; an item's texts are in one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     n = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // block
+    of = F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id"))
     for b in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items(sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate))
+        rows = items.filter(F.pmod(of, F.lit(n)) == b).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate, recall))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, distance, item_words, start_word, end_word: the best match of each document row and item."""
     docs = docs.select("doc_id", "text")
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(_searched(own), FOUND) for own in _blocks(benchmark, rate, block)])
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_searched(own), FOUND) for own in _blocks(benchmark, rate, block, recall)])
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """The rows of docs in which no item is found, as they are."""
-    for own in _blocks(benchmark, rate, block):
+    for own in _blocks(benchmark, rate, block, recall):
         docs = docs.mapInArrow(_clean(own, docs.columns.index("text")), docs.schema)
     return docs

@@ -97,7 +97,7 @@ def test_query(spark):
     assert all(brute(items[i], texts[n]) for n, i in found - exact)
 
 
-@pytest.mark.parametrize("m", [7, 10, 15, 20, 31, 32, 45, 59, 63, 64, 127, 128, 300, 600])
+@pytest.mark.parametrize("m", [5, 7, 10, 15, 20, 31, 32, 45, 59, 60, 63, 64, 100, 127, 128, 300, 600])
 @pytest.mark.parametrize("rate", [0.1, 0.15, d.RATE])
 def test_recall_by_length_and_rate_of_edits(m, rate):
     rng = random.Random(f"{m} {rate}")
@@ -127,3 +127,18 @@ def test_items_without_id_are_searched(spark):
         got = d.find_passages(docs, bench, block=block).collect()
         assert sorted((r.doc_id, str(r.item_id), r.item_words) for r in got) == [(1, "None", 6), (1, "None", 7), (2, "0", 6)]
         assert [r.doc_id for r in d.clean_documents(docs, bench, block=block).collect()] == [3]
+
+
+def test_results_do_not_depend_on_blocks(spark):
+    """An item with two texts is one item however small the blocks are; a rate that the lemma cannot serve is refused."""
+    texts = ["one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black pink"]
+    docs = spark.createDataFrame([(1, f"x {texts[0]} y {texts[1]}"), (2, f"{texts[2]} z")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(4, texts[0]), (4, texts[1]), (5, texts[2])], "item_id bigint, text string")
+    rows = [sorted(map(tuple, d.find_passages(docs, bench, block=block).collect())) for block in (d.BLOCK, 20, 5)]
+    assert rows[0] == rows[1] == rows[2] and [r[:2] for r in rows[0]] == [(1, 4), (2, 5)]
+    with pytest.raises(ValueError):
+        d.find_passages(docs, bench, rate=0.5)
+
+
+def test_walks_follow_from_the_recall():
+    assert d.walks(16, d.RATE, 0.5) < d.walks(16, d.RATE, 0.98) and d.walks(16, 0.05, 0.98) < d.walks(16, d.RATE, 0.98)
