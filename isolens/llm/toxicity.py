@@ -2,21 +2,27 @@
 
 1. Voters.  From a bounded sample of labelled rows (MOST_LABELLED, the first by hash of doc_id; rows of the
    held-out fold never) words and word beginnings that mark toxic texts are mined.  Lexicon voters hold the
-   words, dealt out by rank; pattern voters hold the beginnings, one for each length; one voter more asks for
-   two different hits.
+   words, dealt out by rank; beginning voters hold the beginnings, one for each length; one voter asks for
+   two different hits.  Pattern voters see no label: letters hidden behind signs inside a word, words in capitals, repeated
+   exclamation marks, words that address the reader beside a hit.  Two voters speak for clean texts: a hit that stands in
+   quotes, and a text of PLAIN words and more without any hit or pattern.
 2. Label model.  Every document is put to the vote, and Spark counts the vote patterns, at most two to the
    number of voters.  EM fits each voter's rates in both classes; from the conditional correlations that
    remain a tree of dependent voters is chosen, and EM is run again with each voter given its parent.
-3. Classifier.  A logistic regression over hashed words and word beginnings is trained on the posteriors of
-   a bounded sample of documents (MOST_TRAINED, outside the held-out fold), and scores every document.
-
-Counts, patterns and scores cover all documents; scores depend on the text alone.  A null or empty text gets
-the score of the intercept; repeated rows give a row each; without labels every score is the base rate.
+3. Classifier.  A logistic regression over hashed words and word beginnings, in which every document outside the
+   held-out fold counts by its posterior.  One aggregation over them finds the features whose rates in toxic and clean texts differ
+   (log ratio of TELLING or more, and clear of chance); another counts the distinct sets of those features that texts hold,
+   by vote pattern; L-BFGS then takes loss and gradient from sums over that table.
+
+Counts, patterns, training and scores cover all documents; scores depend on the text alone.  A null or empty text gets
+the score of the intercept; repeated rows give a row each; without labels every score is the base rate; an empty table gives no
+rows; a text of any length is scored whole; columns besides doc_id and text are ignored.  Features that are equal in count and
+score have equal weights, so the order of rows decides nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,14 +31,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isolens.llm import textkit
+from isolens.llm.scratch import passing, saved
 
 MOST_LABELLED = 20_000
-MOST_TRAINED = 8_000
-MOST_MARKS = 512
+#: A mark's evidence (nats) beyond that of the best of all words by chance.
+SURE = 8.0
 BEGINNINGS = (4, 5, 6, 7)
 LEXICONS = 6
-VOTERS = LEXICONS + len(BEGINNINGS) + 1
+#: Numbers of the voters after the lexicon and beginning voters; those up to TWICE vote by marks.
+TWICE = LEXICONS + len(BEGINNINGS)
+HIDDEN, CAPITALS, EXCLAIMED, ADDRESSED, QUOTED, PLAINLY = range(TWICE + 1, TWICE + 7)
+VOTERS = PLAINLY + 1
+PLAIN = 50
 BITS = 18
+#: Least weight of a feature, standard errors from chance, and pseudo-documents at the feature's overall rate.
+TELLING, CLEAR, PRIOR = 2.0, 5.0, 4.0
+RIDGE = 1.0
+
+# Words by which a text addresses its reader.
+ADDRESS = ("you", "your", "you're", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "vous", "votre", "te", "ti", "tú", "usted", "ustedes", "vosotros")
 
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)]).astype(np.uint8)
 
@@ -84,36 +101,128 @@ class Lexicon(NamedTuple):
     share: float
 
 
+def _contexts(known: np.ndarray):
+    """(kind, h, context, toxic): the distinct words before each occurrence of the known hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
+            for chunk in textkit.chunks(batch.column(0)):
+                doc, kind, h = marks(chunk)
+                low = textkit.Chunk(0, textkit.LOWER[chunk.data], chunk.offsets)
+                at, words = textkit.runs(low, _LETTER), textkit.words(low)
+                word = textkit.Hasher(low.data)(words.start, words.end)
+                own = np.searchsorted(words.start, at.start, side="right") - 1
+                follows = (own > 0) & (words.doc[own - 1] == words.doc[own]) if len(own) else np.zeros(0, bool)
+                before = np.where(follows, word[own - 1], np.uint64(0)) if len(own) else np.zeros(0, np.uint64)
+                context = np.concatenate([before, *[before[at.end - at.start >= n] for n in BEGINNINGS]])
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[place] == h
+                rows = np.unique(np.stack([kind[hit].astype(np.int64), h[hit].view(np.int64), context[hit].view(np.int64), toxic[chunk.first + doc[hit]].astype(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1].copy()), pa.array(rows[2].copy()), pa.array(rows[3].astype(np.int32))], ["kind", "h", "context", "toxic"])
+
+    return run
+
+
+def _telling(toxic: Column, n: Column, share: float, tried: int) -> Column:
+    """More of n are toxic than the share explains, even as the best of so many tries: the binomial's large-deviation bound."""
+    p = toxic / n
+    clean = F.when(p < 1, (1 - p) * F.log(F.greatest((1 - p), F.lit(1e-12)) / (1 - share))).otherwise(0.0)
+    return (toxic >= 4) & (p >= 0.7) & (n * (p * F.log(F.greatest(p, F.lit(1e-12)) / share) + clean) > float(np.log(max(tried, 1)) + SURE))
+
+
 def mine(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """Words and beginnings that far more toxic than clean texts of the sample hold, in several surroundings.
+
+    Near copies of one toxic text share all their words, but also the words before them: a mark must pass the same test with
+    the distinct words before it in place of texts.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    share = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    of = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    share = (of.toxic + 0.5) / (of.n + 2)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     counted = rows.mapInArrow(_mined, "kind int, h bigint, toxic bigint, n bigint").groupBy("kind", "h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    clean = F.greatest(F.lit(share.n - share.toxic), F.lit(1))
-    lift = (F.col("toxic") / max(share.toxic, 1)) / ((F.col("n") - F.col("toxic") + 0.5) / clean)
-    found = counted.filter((F.col("toxic") >= 4) & (F.col("toxic") >= 0.7 * F.col("n")) & (lift > 8)).orderBy(F.desc("toxic"), "kind", "h").limit(MOST_MARKS).collect()
+    with passing(docs.sparkSession):
+        counted = saved(counted, "counted")
+        tried = counted.count()
+        first = counted.filter(_telling(F.col("toxic"), F.col("n"), share, tried)).select("h").toArrow()  # of a bounded sample
+        hashes = np.sort(first.column("h").to_numpy().view(np.uint64))
+        none = Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), share)
+        if not len(hashes):
+            return none
+        pairs = rows.mapInArrow(_contexts(hashes), "kind int, h bigint, context bigint, toxic int").groupBy("kind", "h", "context").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("clean"))
+        by = pairs.groupBy("kind", "h").agg(F.sum("toxic").cast("long").alias("toxic"), F.sum(F.col("toxic") + 1 - F.col("clean")).cast("long").alias("n"))
+        found = by.filter(_telling(F.col("toxic"), F.col("n"), share, tried)).orderBy(F.desc("toxic"), "kind", "h").collect()
+    if not found:
+        return none
     voters, words = [], 0
     for r in found:
         voters.append(words % LEXICONS if r.kind == 0 else LEXICONS + r.kind - 1)
         words += r.kind == 0
     hashes = np.array([r.h for r in found], np.int64).view(np.uint64)
     by = np.argsort(hashes)
-    return Lexicon(hashes[by], np.array(voters, np.int64)[by], (share.toxic + 0.5) / (share.n + 2))
+    return Lexicon(hashes[by], np.array(voters, np.int64)[by], share)
+
+
+def _hidden(data: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Places of a sign or digit between two letters of one text; new: the first byte of each text."""
+    letter = _LETTER[data] > 0
+    sign = np.isin(data, np.frombuffer(b"*@$#0123456789", np.uint8))
+    out = np.zeros(len(data), bool)
+    out[1:-1] = sign[1:-1] & letter[:-2] & letter[2:]
+    out[1:] &= ~new[1:]
+    out[:-1] &= ~new[1:]
+    return np.flatnonzero(out)
+
+
+def _address() -> np.ndarray:
+    raw = np.frombuffer("\n".join(ADDRESS).encode(), np.uint8)
+    at = textkit.runs(textkit.Chunk(0, raw, np.array([0, len(raw)])), _LETTER)
+    return np.unique(textkit.Hasher(raw)(at.start, at.end))
 
 
 def votes(chunk: textkit.Chunk, lexicon: Lexicon) -> np.ndarray:
-    """For each text, the bits of the voters that call it toxic."""
-    out = np.zeros(chunk.n, np.int64)
+    """For each text, the bits of the voters that speak up."""
+    n, out = chunk.n, np.zeros(chunk.n, np.int64)
     if not len(lexicon.hashes):
         return out
-    doc, _, h = marks(chunk)
+    mark_doc, _, h = marks(chunk)
     at = np.minimum(np.searchsorted(lexicon.hashes, h), len(lexicon.hashes) - 1)
     hit = lexicon.hashes[at] == h
-    doc, at = _distinct(doc[hit], at[hit])
+    doc, at = _distinct(mark_doc[hit], at[hit])
     np.bitwise_or.at(out, doc, np.left_shift(1, lexicon.voters[at]))
-    twice = np.bincount(doc[lexicon.voters[at] < LEXICONS], minlength=chunk.n) >= 2
-    return out | (twice.astype(np.int64) << (VOTERS - 1))
+    any_hit = out != 0
+
+    def vote(voter: int, which: np.ndarray) -> None:
+        out[which] |= 1 << voter
+
+    vote(TWICE, np.bincount(doc[lexicon.voters[at] < LEXICONS], minlength=n) >= 2)
+    data, of = chunk.data, lambda places: np.searchsorted(chunk.offsets, places, side="right") - 1
+    new = np.zeros(len(data) + 1, bool)
+    new[chunk.offsets[:-1]] = True
+    new = new[: len(data)]
+    vote(HIDDEN, np.bincount(of(_hidden(data, new)), minlength=n) > 0)
+    words = textkit.runs(chunk, _LETTER)
+    capital = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
+    long = words.end - words.start >= 4
+    loud = long & (capital[words.end] - capital[words.start] == words.end - words.start)
+    vote(CAPITALS, np.bincount(words.doc[loud], minlength=n) >= 2)
+    twice = np.flatnonzero((data[1:] == 33) & (data[:-1] == 33) & ~new[1:]) if len(data) else np.zeros(0, np.int64)
+    vote(EXCLAIMED, np.bincount(of(twice), minlength=n) > 0)
+    h = textkit.Hasher(textkit.LOWER[data])(words.start, words.end)
+    known = _address()
+    addressed = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    found = lexicon.hashes[np.minimum(np.searchsorted(lexicon.hashes, h), len(lexicon.hashes) - 1)] == h
+    near = np.zeros(len(h), bool)
+    for k in (1, 2, 3):
+        same = (words.doc[k:] == words.doc[:-k]) & ((addressed[:-k] & found[k:]) | (found[:-k] & addressed[k:]))
+        near[k:] |= same
+    vote(ADDRESSED, np.bincount(words.doc[near], minlength=n) > 0)
+    before = data[np.maximum(words.start - 1, 0)]
+    vote(QUOTED, np.bincount(words.doc[found & (words.start > 0) & ((before == 34) | (before == 39))], minlength=n) > 0)
+    vote(PLAINLY, ~any_hit & (out == 0) & (np.bincount(words.doc, minlength=n) >= PLAIN))
+    return out
 
 
 def _patterns(lexicon: Lexicon):
@@ -136,7 +245,7 @@ class LabelModel:
         self.counts = counts.astype(float)
         self.prior = prior
         self.parent = np.full(VOTERS, -1)
-        q = np.where(self.v.any(axis=1), 0.95, 0.01)
+        q = np.where(self.v[:, : TWICE + 1].any(axis=1), 0.95, 0.01)
         q = self._fit(q)
         self.correlation = np.stack([self._correlation(q), self._correlation(1 - q)])
         self._choose_tree(np.abs(self.correlation).max(axis=0))
@@ -195,46 +304,125 @@ def _features(chunk: textkit.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return doc, (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _featured(lexicon: Lexicon):
+class Posterior(NamedTuple):
+    """The posterior of each vote pattern, patterns sorted."""
+
+    patterns: np.ndarray
+    q: np.ndarray
+
+    def __call__(self, patterns: np.ndarray) -> np.ndarray:
+        return self.q[np.searchsorted(self.patterns, patterns)]
+
+
+def _evidence(lexicon: Lexicon, posterior: Posterior):
+    """(feature, df, toxic): documents with the feature, and the sum of their posteriors; under feature 2^BITS those of all documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, toxic = np.zeros((1 << BITS) + 1, np.int64), np.zeros((1 << BITS) + 1)
+        n, all_toxic = 0, 0.0
         for batch in batches:
             for chunk in textkit.chunks(batch.column(0)):
+                q = posterior(votes(chunk, lexicon))
+                n, all_toxic = n + chunk.n, all_toxic + float(q.sum())
                 doc, feature = _distinct(*_features(chunk))
+                df += np.bincount(feature, minlength=len(df))
+                toxic += np.bincount(feature, weights=q[doc], minlength=len(df))
+        df[-1], toxic[-1] = n, all_toxic
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen]), pa.array(toxic[seen])], ["feature", "df", "toxic"])
+
+    return run
+
+
+def telling(df: np.ndarray, toxic: np.ndarray, n: float, n_toxic: float) -> np.ndarray:
+    """The features whose rates in toxic and in clean texts differ much and surely."""
+    rate, mean = df / max(n, 1), n_toxic / max(n, 1)
+    ratio = np.log((toxic + PRIOR * rate + 1e-9) / (n_toxic + PRIOR)) - np.log((df - toxic + PRIOR * rate + 1e-9) / (n - n_toxic + PRIOR))
+    z = (toxic - df * mean) / np.sqrt(np.maximum(df * mean * (1 - mean), 1e-9))
+    return np.flatnonzero((df >= 4) & (np.abs(z) >= CLEAR) & (np.abs(ratio) >= TELLING))
+
+
+def _sets(lexicon: Lexicon, chosen: np.ndarray):
+    """(pattern, features): for each text its votes and the places in chosen of the features that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1)
+        place[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            for chunk in textkit.chunks(batch.column(0)):
+                doc, feature = _features(chunk)
+                known = place[feature] >= 0
+                doc, feature = _distinct(doc[known], place[feature[known]])
                 cuts = np.searchsorted(doc, np.arange(chunk.n + 1)).astype(np.int32)
-                rows = pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(votes(chunk, lexicon)), rows], ["pattern", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(votes(chunk, lexicon)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))], ["pattern", "features"])
 
     return run
 
 
-def train(features: np.ndarray, cuts: np.ndarray, q: np.ndarray, prior: float, steps: int = 300, ridge: float = 2.0) -> tuple[np.ndarray, float]:
-    """(weights of 2^BITS features, intercept) of a logistic regression on the soft labels q."""
-    size = 1 << BITS
-    doc = np.repeat(np.arange(len(q)), np.diff(cuts))
-    df = np.bincount(features, minlength=size)
-    mean = float(q.mean()) if len(q) else prior
-    hit = np.bincount(features, weights=q[doc], minlength=size)
-    z = (hit - df * mean) / np.sqrt(np.maximum(df * mean * (1 - mean), 1e-9))
-    chosen = np.flatnonzero((df >= 4) & (np.abs(z) >= 5))
-    bias = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
-    weights = np.zeros(size, np.float32)
-    if not len(chosen):
-        return weights, bias
-    number = np.full(size, -1)
-    number[chosen] = np.arange(len(chosen))
-    f = number[features]
-    doc, f = doc[f >= 0], f[f >= 0]
-    w = np.zeros(len(chosen))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=w[f], minlength=len(q)) + bias, -50, 50)))
-        r = p - q
-        g = np.append(np.bincount(f, weights=r[doc], minlength=len(w)) + ridge * w, r.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    weights[chosen] = w
-    return weights, float(bias)
+def _slopes(posterior: Posterior, theta: np.ndarray):
+    """(i, value) of rows (pattern, features, n): the gradient by theta, whose last place is the intercept, and under len(theta) the loss."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(theta) + 1)
+        for batch in batches:
+            q, n = posterior(batch.column(0).to_numpy()), batch.column(2).to_numpy()
+            lists = batch.column(1)
+            feature = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            z = np.bincount(row, weights=theta[feature], minlength=batch.num_rows) + theta[-1]
+            r = n * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - q)
+            out[:-2] += np.bincount(feature, weights=r[row], minlength=len(theta) - 1)
+            out[-2] += r.sum()
+            out[-1] += (n * (np.logaddexp(0, z) - q * z)).sum()
+        seen = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(out[seen])], ["i", "value"])
+
+    return run
+
+
+def lbfgs(of: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 60, memory: int = 8, small: float = 1e-5) -> np.ndarray:
+    """The minimum of a smooth convex function that gives value and gradient, from x on."""
+    value, slope = of(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        move, used = slope.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ move) / (s @ y)
+            used.append(a)
+            move -= a * y
+        move *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(np.linalg.norm(slope), 1e-12)
+        for (s, y), a in zip(pairs, reversed(used)):
+            move += s * (a - (y @ move) / (s @ y))
+        scale = 1.0
+        while True:
+            new = x - scale * move
+            new_value, new_slope = of(new)
+            if new_value <= value - 1e-4 * scale * (slope @ move) or scale < 1e-4:
+                break
+            scale /= 2
+        gain = value - new_value
+        if gain <= 0:
+            return x
+        s, y = new - x, new_slope - slope
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y)]
+        x, value, slope = new, new_value, new_slope
+        if gain < small * abs(value):
+            return x
+    return x
+
+
+def train(sets: DataFrame, posterior: Posterior, n_features: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of the features and, last, the intercept, from sets (pattern, features, n).  At most n_features + 2 sums reach the driver in a step."""
+
+    def of(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        rows = sets.mapInArrow(_slopes(posterior, theta), "i bigint, value double").groupBy("i").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros(len(theta) + 1)
+        out[rows.column("i").to_numpy()] = rows.column("value").to_numpy()
+        held = np.append(theta[:-1], 0)
+        return float(out[-1] + ridge * (held @ held) / 2), out[:-1] + ridge * held
+
+    return lbfgs(of, np.zeros(n_features + 1))
 
 
 def _scored(weights: np.ndarray, bias: float):
@@ -251,18 +439,33 @@ def _scored(weights: np.ndarray, bias: float):
     return run
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """(weights of 2^BITS features, intercept) of a text's logit."""
+    lexicon = mine(docs, labels)
+    weights, bias = np.zeros(1 << BITS), float(np.log(lexicon.share / (1 - lexicon.share)))
+    if not len(lexicon.hashes):
+        return weights, bias
+    with passing(docs.sparkSession):
+        # at most 2^VOTERS patterns and 2^BITS features reach the driver, whatever the documents
+        patterns = docs.select("text").mapInArrow(_patterns(lexicon), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
+        known, counts = (patterns.column(c).to_numpy() for c in ("pattern", "n"))
+        if not len(known):
+            return weights, bias
+        posterior = Posterior(known, LabelModel(known, counts, lexicon.share).posterior(known))
+        trained = docs.filter(~held_out(F.col("doc_id"))).select("text")
+        rows = trained.mapInArrow(_evidence(lexicon, posterior), "feature bigint, df bigint, toxic double").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic")).toArrow()
+        df, toxic = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+        at = rows.column("feature").to_numpy()
+        df[at], toxic[at] = rows.column("df").to_numpy(), rows.column("toxic").to_numpy()
+        chosen = telling(df[:-1], toxic[:-1], df[-1], toxic[-1])
+        sets = trained.mapInArrow(_sets(lexicon, chosen), "pattern bigint, features array<int>").groupBy("pattern", "features").agg(F.count(F.lit(1)).alias("n"))
+        theta = train(saved(sets, "sets"), posterior, len(chosen))
+    weights[chosen] = theta[:-1]
+    return weights, float(theta[-1])
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     docs = docs.select("doc_id", "text")
-    lexicon = mine(docs, labels)
-    patterns = docs.select("text").mapInArrow(_patterns(lexicon), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    model = LabelModel(np.array([r.pattern for r in patterns] or [0], np.int64), np.array([r.n for r in patterns] or [1]), lexicon.share)
-    ids = docs.filter(~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRAINED)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_featured(lexicon), "pattern bigint, features array<int>").toArrow()
-    lists = rows.column("features").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    cuts = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int64)
-    q = model.posterior(rows.column("pattern").to_numpy())
-    weights, bias = train(lists.values.to_numpy(), cuts, q, lexicon.share)
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_scored(weights, bias), "doc_id bigint, held_out boolean, score double")
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_scored(*fit(docs, labels)), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

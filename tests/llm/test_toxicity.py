@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from isolens.llm import textkit
 from isolens.llm import toxicity as t
 from isolens.llm.queries import op8_toxicity
 
@@ -42,3 +44,44 @@ def test_query_on_the_held_out_fold(spark):
     fold = [(toxic[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in toxic]
     hits, marked, real = sum(a & b for a, b in fold), sum(b for _, b in fold), sum(a for a, _ in fold)
     assert hits >= 0.8 * real and hits >= 0.97 * marked
+
+
+def test_training_equals_brute_force(spark):
+    """Evidence, choice of features, loss and gradient over whole texts against dictionaries; other cuts of the table change nothing."""
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in "bcdfg" for b in ("aro", "enilo", "usimota")]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 30)))) + (" idiot" * (i % 7 == 0)) + (" scum" * (i % 11 == 0))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0 or i % 11 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    lexicon = t.mine(docs, labels)
+    assert len(lexicon.hashes)
+    bits = {i: int(t.votes(next(textkit.chunks(pa.array([text]))), lexicon)[0]) if text else 0 for i, text in rows}
+    patterns, counts = np.unique(list(bits.values()), return_counts=True)
+    posterior = t.Posterior(patterns, t.LabelModel(patterns, counts, lexicon.share).posterior(patterns))
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    features = {i: set(t._features(next(textkit.chunks(pa.array([text]))))[1].tolist()) if text else set() for i, text in rows if i not in held}
+    q = {i: float(posterior(np.array([bits[i]]))[0]) for i in features}
+    df, toxic = np.zeros(1 << t.BITS), np.zeros(1 << t.BITS)
+    for i, own in features.items():
+        df[list(own)] += 1
+        toxic[list(own)] += q[i]
+    chosen = t.telling(df, toxic, len(features), sum(q.values()))
+    x = np.array([[f in features[i] for f in chosen] for i in features], float)
+    y = np.array([q[i] for i in features])
+    w, bias = np.zeros(len(chosen)), 0.0
+    for _ in range(4000):
+        r = 1 / (1 + np.exp(-(x @ w + bias))) - y
+        w, bias = w - 0.01 * (x.T @ r + t.RIDGE * w), bias - 0.01 * r.sum()
+    weights, got_bias = t.fit(docs, labels)
+    assert set(np.flatnonzero(weights)) <= set(chosen) and abs(got_bias - bias) < 0.1 and np.abs(weights[chosen] - w).max() < 0.1
+    for r in t.score_toxicity(docs.repartition(2), labels).collect():
+        own = set(t._features(next(textkit.chunks(pa.array([rows[r.doc_id][1]]))))[1].tolist()) if rows[r.doc_id][1] else set()
+        assert abs(r.score - 1 / (1 + np.exp(-(sum(weights[f] for f in own) + got_bias)))) < 1e-6
+
+
+def test_pattern_voters():
+    lexicon = t.Lexicon(textkit.Hasher(np.frombuffer(b"idiot", np.uint8))(np.array([0]), np.array([5])), np.array([0]), 0.1)
+    texts = ["you idiot", 'he said "idiot" once', "id1ot and sc*m", "WHAT NOISE here", "stop!! now", "plain " * 60, "", "a! !b"]
+    bits = t.votes(next(textkit.chunks(pa.array(texts))), lexicon)
+    have = [{v for v in range(t.VOTERS) if b >> v & 1} for b in bits]
+    assert have == [{0, t.ADDRESSED}, {0, t.QUOTED}, {t.HIDDEN}, {t.CAPITALS}, {t.EXCLAIMED}, {t.PLAINLY}, set(), set()]
