@@ -15,8 +15,10 @@ mix holds the sources in their weights; within it they stand in an order of thei
 Without a budget the mix is the smallest that holds every document of every source once, so nothing is
 dropped; a smaller budget takes the beginning of each source's permutation.
 
-Tokens are words, and a document without words or text counts as one.  A null source counts as the empty one.  Rows with the same id in a source stand next to each other in one block;
-columns besides doc_id, source and text are ignored.  No source, no rows.
+Tokens are words, and a document without words or text counts as one; it is in the first epoch alone, as there is nothing in it to
+repeat.  A null source counts as the empty one.  Rows with the same id in a source stand next to each other in one block;
+columns besides doc_id, source and text are ignored.  An empty table gives no rows.  Of a text only the number of words is held,
+so its length does not matter.  Ties in an order are broken by id, tokens, source and epoch.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from isolens.llm.scratch import saved
 
 BLOCK = 1_000_000
+STRETCH = 4096
 LEVELS = 4
 PASSES = 12
 REPEATS = 4.0
@@ -34,7 +37,7 @@ REPEATS = 4.0
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.greatest(words, F.lit(1)).alias("tokens"))
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.greatest(words, F.lit(1)).alias("tokens"), (words == 0).alias("wordless"))
 
 
 def _power(exponent: Column) -> Column:
@@ -87,15 +90,20 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = R
     budget_all = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     n_mix = max(1, -(-budget_all // block))
     sized = counted.join(quotas.select("source", F.col("tokens").alias("all_tokens"), "weight", "quota"), "source")
-    epochs = F.greatest(F.ceil(F.col("quota") / F.col("all_tokens")), F.lit(1)).cast("int")
+    epochs = F.when(F.col("wordless"), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("quota") / F.col("all_tokens")), F.lit(1)).cast("int"))
     each = sized.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     place = F.xxhash64(F.lit(seed), "epoch", "doc_id")
     n_blocks = F.ceil(F.col("all_tokens") / block)
     each = each.withColumn("block", F.pmod(place, n_blocks)).withColumn("order", F.xxhash64(F.lit(seed + 1), "epoch", "doc_id"))
     cell = ["source", "epoch", "block"]
     sums = each.groupBy(cell).agg(F.sum("tokens").alias("cell_tokens"))
-    before = Window.partitionBy("source").orderBy("epoch", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*cell, F.coalesce(F.sum("cell_tokens").over(before), F.lit(0)).alias("offset"))
+    # in two levels, STRETCH blocks at a time, so that the cells of a hot source are many windows
+    sums = sums.withColumn("stretch", F.floor(F.col("block") / STRETCH))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    stretches = sums.groupBy("source", "epoch", "stretch").agg(F.sum("cell_tokens").alias("n")).select("source", "epoch", "stretch", before("n", upto("source").orderBy("epoch", "stretch")).alias("start"))
+    inner = sums.select(*cell, "stretch", before("cell_tokens", upto("source", "epoch", "stretch").orderBy("block")).alias("rest"))
+    offsets = inner.join(stretches, ["source", "epoch", "stretch"]).select(*cell, (F.col("start") + F.col("rest")).alias("offset"))
     inside = Window.partitionBy(cell).orderBy("order", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.join(offsets, cell).withColumn("at", F.col("offset") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     taken = placed.filter(F.col("at") < F.col("quota"))
