@@ -78,7 +78,7 @@ def _weighed(ratios: np.ndarray, text: int, names: list[str]):
             for chunk in textkit.chunks(batch.column(text)):
                 doc, bucket = features(chunk)
                 n = np.bincount(doc, minlength=chunk.n)
-                weight = np.bincount(doc, weights=ratios[bucket], minlength=chunk.n)
+                weight = np.bincount(doc, weights=ratios[bucket], minlength=chunk.n).astype(float)  # of no n-grams it is a count
                 own = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n), pa.array(weight)], names)
 
