@@ -3,7 +3,8 @@
 Every stage works on all rows that its predecessor kept.  The first four return the columns of documents; the
 last returns the mix: documents in reading order (mix_block, mix_rank), each as often as its source is repeated.
 A doc_id names a document: rows that share one count as one document from the second stage on; rows without doc_id are
-duplicates of nothing.
+duplicates of nothing.  Documents without words stay (nothing in them is bad), and the mix holds them once, however often it
+repeats their source.  An empty table gives no rows; columns that documents has beside its own pass the first four stages unchanged.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix with its texts: mix_block, mix_rank, doc_id, source, epoch, tokens, weight, text."""
-    own = docs.select("doc_id", "source", "text", F.coalesce("doc_id", F.xxhash64("text", "source")).alias("key"))
+    # the key of a row without id, a hash, cannot be taken for an id
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.xxhash64("text", "source")).alias("id"))
+    own = docs.select("doc_id", "source", "text", key.alias("key"))
     plan = mixing.mix(own.select(F.col("key").alias("doc_id"), "source", "text")).withColumnRenamed("doc_id", "key")
     # ids are unique by now; rows without one may be equal
     texts = own.filter("doc_id is not null").unionByName(own.filter("doc_id is null").dropDuplicates(["key"])).select("key", "doc_id", "text")
