@@ -4,12 +4,13 @@ The language model is modified Kneser-Ney over the bytes of texts (order ORDER,
 padding), two models for each language: texts are dealt by hash into halves, and a text is scored by the model of
 the half that it is not in, so that neither it nor its exact copies vouch for it.  Spark counts the n-grams of every document: a task sums its own
 before they are shuffled.  Continuation counts, discounts, context totals and interpolated probabilities
-are DataFrame aggregations and joins.  A model is two numbers, log probability and log back-off weight,
-under the 64-bit hash of (half and language, order, n-gram), kept as arrays sorted by hash and searched by bisection.
+are DataFrame aggregations, windows over one context (at most 256 rows) and joins by the next shorter n-gram.  N-grams that texts of the other half ask
+for take part with a count of 0, so that the interpolation yields their probability too, whatever it backs off to.
 
-The model grows with the corpus.  Up to MOST_ENTRIES entries the arrays go to the executors as a broadcast;
-beyond, the n-grams of documents are counted, joined with the model table and summed by document.  Both ways
-compute the same sums, up to the float32 of the arrays (about 1e-4).
+What texts ask for is then a table of 64-bit hash of (half and language, n-gram) and log probability (float32), which is written in
+sorted shards of about SHARD entries, split by range of hash.  A task sorts the hashes of a chunk of text and looks them up
+shard by shard; it holds KEPT shards at most, the last used, and reads the others from the shared folder.  The table grows with
+the corpus, and nothing of it passes through the driver.
 
 A text's cross entropy (log perplexity), for each byte and for each word, is compared with the quartiles of all documents
 that the same model scores: outside [lower quartile - w * s, upper quartile + w * s] in either, it is rejected, where s is
@@ -18,24 +19,30 @@ for quartiles of n documents: three standard errors of such a bound, if entropie
 signs repeated after every word are cheap for each byte, but not for each word.  A language of which one half has no
 text is scored by no model: its texts are alike, and the bands reject none.
 
-A null text counts as empty, a null language as a language of its own; repeated rows give a row each; columns
-besides doc_id, text and lang are ignored.
+A null text counts as empty, a null language as the empty one; repeated rows give a row each; columns besides doc_id,
+text and lang are ignored; an empty table gives no rows.  A text of any length is counted and scored whole.  Equal entropies are
+judged alike; a bound of a band is inside it.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isolens.llm import textkit
-from isolens.llm.scratch import saved
+from isolens.llm.scratch import broadcast_up_to, passing, saved
 
 ORDER = 5
-MOST_ENTRIES = 4_000_000
+SHARD, KEPT = 1_000_000, 12
+#: Languages (and halves) whose discounts are broadcast at most; more of them are joined by a shuffle.
+MOST_LANGUAGES = 100_000
 WIDTH = 2.0
 SHORT = 500.0
 UNSURE = 7.5
@@ -148,7 +155,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _discounts(counts: DataFrame) -> DataFrame:
     """d1, d2, d3 for each language, from how many n-grams have counts of 1 to 4."""
-    n = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    n = [F.sum(F.when(F.col("c") == k, 1.0).otherwise(0.0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
     of = counts.groupBy("lang").agg(*n)
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     have = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
@@ -156,35 +163,33 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return of.select("lang", d(1), d(2), d(3))
 
 
-def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, k, gram, logp, logb: probabilities of n-grams of all orders, and the back-off weights of those that are contexts."""
+def kneser_ney(grams: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, gram, logp for each of the asked n-grams (lang, gram) by the model of the counted ones (lang, gram, c)."""
     mask = lambda k: F.lit((1 << (8 * k)) - 1)
-    counts = {order: grams}
+    both = grams.select("lang", "gram", "c", F.lit(False).alias("asked")).unionByName(asked.select("lang", "gram", F.lit(0).cast("long").alias("c"), F.lit(True).alias("asked")))
+    counts = {order: saved(both.groupBy("lang", "gram").agg(F.sum("c").alias("c"), F.max("asked").alias("asked")), f"counts{order}")}
     for k in range(order - 1, 0, -1):
-        counts[k] = counts[k + 1].groupBy("lang", F.col("gram").bitwiseAND(mask(k)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-    below, parts = None, []
+        shorter = counts[k + 1].groupBy("lang", F.col("gram").bitwiseAND(mask(k)).alias("gram"))
+        counts[k] = saved(shorter.agg(F.count(F.when(F.col("c") > 0, 1)).alias("c")), f"counts{k}")
+    below = None
+    by_context = Window.partitionBy("lang", "context")
     for k in range(1, order + 1):
-        by_context = Window.partitionBy("lang", "context")
         c = F.col("c")
-        d = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = counts[k].join(_discounts(counts[k]), "lang").withColumn("context", F.shiftright("gram", 8)).withColumn("d", d)
-        t = t.withColumn("total", F.sum("c").over(by_context)).withColumn("backoff", F.sum("d").over(by_context) / F.col("total"))
-        share = (F.col("c") - F.col("d")) / F.col("total")
+        d = F.when(c == 0, 0.0).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+        of = broadcast_up_to(saved(_discounts(counts[k]), f"discounts{k}"), MOST_LANGUAGES)
+        t = counts[k].join(of, "lang").withColumn("context", F.shiftright("gram", 8)).withColumn("d", d)
+        t = t.withColumn("total", F.sum("c").over(by_context)).withColumn("spare", F.sum("d").over(by_context))
+        seen = F.col("total") > 0
+        share, backoff = F.when(seen, (c - F.col("d")) / F.col("total")).otherwise(0.0), F.when(seen, F.col("spare") / F.col("total")).otherwise(1.0)
         if below is None:
-            p = t.select("lang", "gram", "context", "backoff", (share + F.col("backoff") / 256).alias("p"))
+            below = t.select("lang", "gram", (share + backoff / 256).alias("p"))
         else:
-            t = t.withColumn("shorter", F.col("gram").bitwiseAND(mask(k - 1)))
             lower = below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("q"))
-            p = t.join(lower, ["lang", "shorter"]).select("lang", "gram", "context", "backoff", (share + F.col("backoff") * F.col("q")).alias("p"))
-        p = saved(p, f"kn{k}")
-        parts.append(p.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp")))
-        contexts = p.groupBy("lang", "context").agg(F.log(F.min("backoff")).alias("logb"))
-        parts.append(contexts.select("lang", F.lit(k - 1).alias("k"), F.col("context").alias("gram"), F.col("logb").alias("logb")))
-        below = p
-    both = parts[0].withColumn("logb", F.lit(None).cast("double"))
-    for part in parts[1:]:
-        both = both.unionByName(part, allowMissingColumns=True)
-    return both.groupBy("lang", "k", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
+            t = t.withColumn("shorter", F.col("gram").bitwiseAND(mask(k - 1))).join(lower, ["lang", "shorter"])
+            below = t.select("lang", "gram", (share + backoff * F.col("q")).alias("p"), *(["asked"] if k == order else []))
+    if order == 1:
+        below = below.join(counts[1].select("lang", "gram", "asked"), ["lang", "gram"])
+    return below.filter("asked").select("lang", "gram", F.log("p").alias("logp"))
 
 
 def _lang_key(lang: str) -> np.uint64:
@@ -192,129 +197,79 @@ def _lang_key(lang: str) -> np.uint64:
     return textkit.Hasher(raw)(np.array([0]), np.array([len(raw)]))[0]
 
 
-def entry_keys(lang: str, k: int, grams: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return textkit.mix(textkit.mix(grams.astype(np.uint64) + _lang_key(lang)) + np.uint64(k) * np.uint64(0xA0761D6478BD642F))
-
-
-class Model:
-    """Log probabilities and back-off weights in arrays sorted by hash."""
-
-    def __init__(self, rows: pa.Table, order: int) -> None:
-        self.order = order
-        k, gram = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("k", "gram"))
-        lang = rows.column("lang").combine_chunks().dictionary_encode()
-        keys, number_of = np.zeros(len(k), np.uint64), lang.indices.to_numpy()
-        for i, one in enumerate(lang.dictionary.to_pylist()):
-            for n in range(order + 1):
-                own = (number_of == i) & (k == n)
-                keys[own] = entry_keys(one, n, gram[own])
-        by = np.argsort(keys)
-        self.keys = keys[by]
-        number = lambda c: np.nan_to_num(rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64), nan=np.nan)[by].astype(np.float32)
-        self.logp, self.logb = number("logp"), number("logb")
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def log_probability(self, lang: str, grams: np.ndarray) -> np.ndarray:
-        """Of the last byte of each n-gram after the others."""
-        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
-        for k in range(self.order, 0, -1):
-            code = grams[open_] & np.uint64((1 << (8 * k)) - 1)
-            at = self._find(entry_keys(lang, k, code))
-            logp = np.where(at >= 0, self.logp[at] if len(self.logp) else 0, np.nan)
-            known = ~np.isnan(logp)
-            out[open_[known]] += logp[known]
-            open_, code = open_[~known], code[~known]
-            at = self._find(entry_keys(lang, k - 1, code >> np.uint64(8)))
-            logb = np.where(at >= 0, self.logb[at] if len(self.logb) else 0, 0)
-            out[open_] += np.nan_to_num(logb)
-        out[open_] -= np.log(256)
-        return out
-
-
-def _of_docs(chunk: textkit.Chunk, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, code, count) of the distinct n-grams of each text."""
-    doc, code = gram_codes(chunk, order)
-    by = np.lexsort((code, doc)) if 8 * order + 20 > 63 or chunk.n >= 1 << 20 else None
-    if by is None:
-        packed = np.sort((doc.astype(np.uint64) << np.uint64(8 * order)) | code)
-        doc, code = (packed >> np.uint64(8 * order)).astype(np.int64), packed & np.uint64((1 << (8 * order)) - 1)
-    else:
-        doc, code = doc[by], code[by]
-    if not len(doc):
-        return doc, code, doc
-    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
-    return doc[new], code[new], np.diff(np.append(new, len(doc)))
-
-
-def _scored_by(model) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_model = model.value
-        names = ["doc_id", "lang", *[c.split()[0] for c in STATS.split(", ")], "logp"]
-        for batch in batches:
-            for chunk in textkit.chunks(batch.column(1)):
-                rows = slice(chunk.first, chunk.first + chunk.n)
-                langs = np.array(batch.column(2)[rows].to_pylist(), object)
-                doc, code, count = _of_docs(chunk, own_model.order)
-                total = np.zeros(chunk.n)
-                for lang in dict.fromkeys(langs):
-                    own = (langs == lang)[doc]
-                    distinct, back = np.unique(code[own], return_inverse=True)
-                    logp = own_model.log_probability(lang, distinct)[back]
-                    total += np.bincount(doc[own], weights=logp * count[own], minlength=chunk.n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(2)[rows], *map(pa.array, stats(chunk)), pa.array(total)], names)
+def entry_keys(langs: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Hashes, as they are ordered by Spark, of n-grams of the languages whose keys are given."""
+    return textkit.mix(textkit.mix(grams + langs) ^ np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
-    return run
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lang = batch.column(0).dictionary_encode()
+        of = np.array([_lang_key(x) for x in lang.dictionary.to_pylist()], np.uint64)
+        keys = entry_keys(of[lang.indices.to_numpy()], batch.column(1).to_numpy().view(np.uint64)) if batch.num_rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(2).cast(pa.float32())], ["key", "logp"])
+
+
+def shards(answers: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
+    """answers (lang, gram, logp), of which there are n, as a table of key and logp in files of about shard entries, sorted and apart by key."""
+    keyed = answers.mapInArrow(_keyed, "key bigint, logp float")
+    return saved(keyed.repartitionByRange(max(1, -(-n // shard)), "key").sortWithinPartitions("key"), "shards")
+
+
+_held: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+
+def _shard(uri: str, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and log probabilities of a shard; a worker process keeps those last used."""
+    if uri not in _held:
+        system, path = fs.FileSystem.from_uri(uri)
+        rows = pq.read_table(path, filesystem=system)
+        _held[uri] = tuple(rows.column(c).to_numpy() for c in ("key", "logp"))
+        while len(_held) > kept:
+            _held.popitem(last=False)
+    _held.move_to_end(uri)
+    return _held[uri]
+
+
+def _looked_up(keys: np.ndarray, files: list[tuple[str, int, int]], kept: int) -> np.ndarray:
+    """The log probabilities of sorted keys; files (uri, least key, largest key)."""
+    out = np.full(len(keys), -np.log(256))
+    for uri, least, largest in files:
+        low, high = np.searchsorted(keys, least), np.searchsorted(keys, largest, side="right")
+        if high > low:
+            known, logp = _shard(uri, kept)
+            at = np.minimum(np.searchsorted(known, keys[low:high]), len(known) - 1)
+            out[low:high] = np.where(known[at] == keys[low:high], logp[at], out[low:high])
+    return out
 
 
-def _grams_of_docs(order: int):
+def _scored(files: list[tuple[str, int, int]], order: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "lang", *[c.split()[0] for c in STATS.split(", ")], "logp"]
         for batch in batches:
-            for chunk in textkit.chunks(batch.column(2)):
-                doc, code, count = _of_docs(chunk, order)
-                take = pa.array(doc + chunk.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(code.astype(np.int64)), pa.array(count)], ["sig", "lang", "gram", "n"])
+            for chunk in textkit.chunks(batch.column(1), 2 * textkit.CHUNK):
+                rows = slice(chunk.first, chunk.first + chunk.n)
+                lang = batch.column(2)[rows].dictionary_encode()
+                of = np.array([_lang_key(x) for x in lang.dictionary.to_pylist()], np.uint64)[lang.indices.to_numpy()]
+                doc, code = gram_codes(chunk, order)
+                keys = entry_keys(of[doc], code)
+                by = np.argsort(keys)
+                keys = keys[by]
+                new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else by
+                logp = np.repeat(_looked_up(keys[new], files, kept), np.diff(np.append(new, len(keys))))
+                # in the order of keys, so that a text's sum does not depend on the texts beside it
+                total = np.bincount(doc[by], weights=logp, minlength=chunk.n).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(2)[rows], *map(pa.array, stats(chunk)), pa.array(total)], names)
 
     return run
 
 
-def _only_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "lang", "sig", *[c.split()[0] for c in STATS.split(", ")]]
-    for batch in batches:
-        for chunk in textkit.chunks(batch.column(1)):
-            rows = slice(chunk.first, chunk.first + chunk.n)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(2)[rows], batch.column(3)[rows], *map(pa.array, stats(chunk))], names)
-
-
-def _scored_by_join(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """The sums of log probabilities for distinct texts, by a left join for each order."""
-    texts = docs.select("sig", "lang", "text").dropDuplicates(["sig", "lang"])
-    open_ = texts.mapInArrow(_grams_of_docs(order), "sig string, lang string, gram bigint, n bigint").withColumn("sum", F.lit(0.0)).withColumn("met", F.lit(False))
-    for k in range(order, 0, -1):
-        short = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))
-        own = model.filter(F.col("k") == k).filter("logp is not null").select("lang", F.col("gram").alias("g"), "logp")
-        context = model.filter(F.col("k") == k - 1).filter("logb is not null").select("lang", F.col("gram").alias("h"), "logb")
-        open_ = open_.withColumn("g", short).withColumn("h", F.shiftright(short, 8)).join(own, ["lang", "g"], "left").join(context, ["lang", "h"], "left")
-        step = F.when(F.col("met"), 0.0).when(F.col("logp").isNotNull(), F.col("logp")).otherwise(F.coalesce("logb", F.lit(0.0)))
-        open_ = open_.select("sig", "lang", "gram", "n", (F.col("sum") + step).alias("sum"), (F.col("met") | F.col("logp").isNotNull()).alias("met"))
-    total = F.sum(F.col("n") * (F.col("sum") - F.when(F.col("met"), 0.0).otherwise(float(np.log(256)))))
-    return open_.groupBy("sig", "lang").agg(total.alias("logp"))
-
-
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """doc_id, lang, the STATS and logp, the natural log of the text's probability, for every row of docs."""
+def score(docs: DataFrame, table: DataFrame, order: int = ORDER, kept: int = KEPT) -> DataFrame:
+    """doc_id, lang, the STATS and logp, the natural log of the text's probability by the table of shards, for every row of docs; an n-gram it lacks is uniform."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    if model.count() <= most_entries:
-        shared = docs.sparkSession.sparkContext.broadcast(Model(model.toArrow(), order))
-        return own.mapInArrow(_scored_by(shared), f"doc_id bigint, lang string, {STATS}, logp double")
-    own = own.withColumn("sig", F.sha2("text", 256))
-    counted = own.select("doc_id", "text", "lang", "sig").mapInArrow(_only_stats, f"doc_id bigint, lang string, sig string, {STATS}")
-    return counted.join(_scored_by_join(own, model, order), ["sig", "lang"], "left").withColumn("logp", F.coalesce("logp", F.lit(0.0))).drop("sig")
+    ranges = table.groupBy(F.input_file_name().alias("file")).agg(F.min("key").alias("least"), F.max("key").alias("largest"))
+    files = sorted(map(tuple, ranges.collect()), key=lambda r: r[1])  # one row for each SHARD entries
+    return own.mapInArrow(_scored(files, order, kept), f"doc_id bigint, lang string, {STATS}, logp double")
 
 
 def base_failed() -> Column:
@@ -328,12 +283,17 @@ def _halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named(half), named(1 - half)
 
 
-def judge(docs: DataFrame, order: int = ORDER, width: float = WIDTH, most_entries: int = MOST_ENTRIES) -> DataFrame:
+def judge(docs: DataFrame, order: int = ORDER, width: float = WIDTH, shard: int = SHARD, kept: int = KEPT) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, entropy (nats a byte), low and high (its band), and the same for each word."""
     counted, asked = _halves(docs)
-    model = saved(kneser_ney(saved(count_grams(counted, order), "grams"), order), "model")
+    with passing(docs.sparkSession) as keep:
+        grams = saved(count_grams(counted, order), "grams")
+        # a half asks the other's model for its own n-grams
+        other = F.concat_ws(":", (1 - F.substring_index("lang", ":", 1).cast("int")).cast("string"), F.substring("lang", 3, 1 << 30))
+        table = shards(kneser_ney(grams, grams.select(other.alias("lang"), "gram"), order), grams.count(), shard)
+        scored = keep(saved(score(asked, table, order, kept), "scored"))
     each = lambda n: F.when(F.col(n) > 0, -F.col("logp") / F.col(n))
-    scored = saved(score(asked, model, order, most_entries), "scored").withColumn("entropy", each("n_bytes")).withColumn("word_entropy", each("n_words"))
+    scored = scored.withColumn("entropy", each("n_bytes")).withColumn("word_entropy", each("n_words"))
     quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     bands = scored.groupBy("lang").agg(quartiles("entropy").alias("q"), quartiles("word_entropy").alias("word_q"), F.count("word_entropy").alias("n"))
     scatter = F.sqrt(1 + SHORT / F.greatest("n_bytes", F.lit(1)))
