@@ -58,7 +58,7 @@ def run_verify(spark: SparkSession, a: argparse.Namespace) -> int:
     events = audit.judged_events(files.read_events(spark, a.events))
     known = events.groupBy("sql", "params").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.sha2(F.concat_ws("\x1f", "sql", F.to_json("params")), 256)).cache()
     legs = Legs(spark, {n: df for n, df in relations.items()}, {r.name: r.tenant_column for r in own})
-    captured = [diff.Captured(r.id, r.sql, tuple(st.Param("" if p["null"] else p["value"] or "", bool(p["null"] or p["value_known"])) for p in r.params or [])) for r in known.toLocalIterator()]
+    captured = [diff.Captured(r.id, r.sql, tuple(st.Param.of(None if p["null"] else p["value"] or "", bool(p["null"] or p["value_known"])) for p in r.params or [])) for r in known.toLocalIterator()]
     found = diff.verdicts_table(spark, diff.diff_reads(legs, captured, [st.Scoped(r.name, r.tenant_column) for r in own]))
     verdicts = audit.with_population(found.join(known, "id"), [r.name for r in own], [r.name for r in scoped if r.name not in seeded]).cache()
     print(audit.report(verdicts, proof.aggregate(proven)).first().report)

@@ -124,7 +124,7 @@ def attribution(relations: Sequence[st.Scoped]):
     def attributed(sql: pd.Series, params: pd.Series) -> pd.DataFrame:
         out = []
         for text, bound in zip(sql, params):
-            own = [st.Param("" if p["null"] else (p["value"] or ""), bool(p["null"] or p["value_known"])) for p in (bound if bound is not None else [])]
+            own = [st.Param.of(None if p["null"] else (p["value"] or ""), bool(p["null"] or p["value_known"])) for p in (bound if bound is not None else [])]
             out.append(st.attribute(text, relations, own) if text is not None else st.Attribution(st.UNATTRIBUTABLE, reason="unresolved statement"))
         return pd.DataFrame(out, columns=["kind", "value", "reason"])
 

@@ -169,7 +169,8 @@ def decoded(value: Column, oid: Column) -> Column:
     whole = F.when(oid == INT2, big_endian(value, 2)).when(oid == INT4, big_endian(value, 4)).when(oid == INT8, big_endian(value, 8)).when(oid == OID, F.when(F.octet_length(value) == 4, F.conv(F.hex(value), 16, 10).cast("long")))
     day = F.date_add(F.lit(EPOCH).cast("date"), big_endian(value, 4).cast("int")).cast("string")
     micros = big_endian(value, 8) + F.unix_micros(F.lit(EPOCH + " 00:00:00 UTC").cast("timestamp"))
-    moment = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    # without the zeros that end a fraction
+    moment = F.concat(F.regexp_replace(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
     return (
         F.when(oid == BOOL, F.when(F.octet_length(value) == 1, F.when(F.hex(value) == "00", "false").otherwise("true")))
         .when(oid.isin(INT2, INT4, INT8, OID), whole.cast("string"))

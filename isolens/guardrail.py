@@ -59,7 +59,7 @@ class GuardedSession:
         tenant = tenant or tenant_from_context()
         if not tenant:
             raise NoTenantContext("no tenant in context")
-        params = [st.Param("" if a is None else str(a)) for a in args]
+        params = [st.Param.of(None if a is None else str(a)) for a in args]
         found = st.check_tenant(sql, self.__classes, params, tenant)
         if found.verdict == "UNATTRIBUTABLE":
             raise Unattributable(found.reason)

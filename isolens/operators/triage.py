@@ -46,18 +46,20 @@ def classified(text: str) -> tuple[str, str] | None:
 
 
 def _followed(rest: str) -> bool:
-    """What comes after a table: the end, punctuation, or a clause word as first or second word."""
-    rest = rest.lstrip(" \t\n\r")
-    for _ in range(2):
-        if not rest or rest[0] in ";,(":
-            return True
-        word = re.match(r"\w+", rest)
-        if not word:
+    """What comes after a table: the end of the text, punctuation after up to two words, or a clause word as first or second word."""
+    blank = " \t\n\r"
+    rest = rest.lstrip(blank)
+    if not rest:
+        return True
+    words = 0
+    while rest and rest[0] not in ";,(":
+        word = re.match(r"(?a)\w+", rest)
+        if not word or words == 2:
             return False
         if word[0].lower() in CLAUSE_WORDS:
             return True
-        rest = rest[word.end() :].lstrip(" \t\n\r")
-    return bool(rest) and rest[0] in ";,("
+        rest, words = rest[word.end() :].lstrip(blank), words + 1
+    return bool(rest)  # words up to the end of the text are prose
 
 
 def sql_blocks(text: str) -> list[tuple[int, str | None, str]]:
