@@ -104,7 +104,7 @@ def _two_legs(template: corpus.Template, tenant: str) -> str:
 
 
 def _diff_query(name: str, id_: str, tenant: str) -> None:
-    template = next(t for t in corpus.TEMPLATES if t.id == id_)
+    template = next(t for t in (*corpus.TEMPLATES, corpus.LINEITEM_MAX) if t.id == id_)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return diff.compare(*_legs(spark, sf_dir).run(template.sql, list(template.params), tenant))
@@ -115,7 +115,7 @@ def _diff_query(name: str, id_: str, tenant: str) -> None:
 
 for _name, _id, _tenant in (
     ("diff_read_safe", "S1", "7"), ("diff_projection_safe", "S2", "7"), ("diff_join_both_scoped", "S3", "7"), ("diff_cte_safe", "S4", "7"), ("diff_aggregate_safe", "S5", "7"),
-    ("diff_view_invoker", "S6", "7"), ("diff_vacuous", "S7", "7"), ("diff_lineitem_max", "S9", "7"), ("diff_read_leak", "L1", ""), ("diff_aggregate_leak", "L2", ""),
+    ("diff_view_invoker", "S6", "7"), ("diff_vacuous", "S7", "7"), ("diff_lineitem_max", "X1", "7"), ("diff_read_leak", "L1", ""), ("diff_aggregate_leak", "L2", ""),
     ("diff_join_one_side_scoped", "L3", "7"), ("diff_cte_aggregate", "L4", ""), ("diff_other_tenant", "L5", "8"), ("diff_tautology", "L6", ""), ("diff_view_definer", "L7", ""),
     ("diff_in_subquery", "L8", ""), ("diff_max", "L9", ""), ("diff_or_defeated", "L10", "7"),
 ):
@@ -419,10 +419,10 @@ def decode_binary_uuid(spark, sf_dir):
     return e.select(F.col("event_id").alias("seq"), wire.decoded(raw, F.lit(wire.UUID)).alias("uuid"), wire.decoded(text, F.lit(wire.BYTEA)).alias("bytea"), wire.decoded(text, F.lit(wire.VARCHAR)).alias("text"))
 
 
-@query("SELECT event_id AS seq, CAST(DATE '2000-01-01' + CAST(event_id - 500 AS INTEGER) AS VARCHAR) AS date, strftime(TIMESTAMP '2000-01-01' + to_microseconds(event_id * 1000001), '%Y-%m-%dT%H:%M:%S.%fZ') AS moment FROM events")
+@query("SELECT event_id AS seq, CAST(DATE '2000-01-01' + CAST(event_id - 500 AS INTEGER) AS VARCHAR) AS date, strftime(TIMESTAMP '2000-01-01' + to_microseconds(event_id * 250001 * (event_id % 3) * 4), '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id * (event_id % 3) * 4 % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(event_id * 250001 * (event_id % 3) * 4 % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z' AS moment FROM events")
 def decode_binary_temporal(spark, sf_dir):
     n = F.col("event_id")
-    return _events(spark, sf_dir).select(n.alias("seq"), wire.decoded(_bytes(n - 500, 4), F.lit(wire.DATE)).alias("date"), wire.decoded(_bytes(n * 1_000_001, 8), F.lit(wire.TIMESTAMPTZ)).alias("moment"))
+    return _events(spark, sf_dir).select(n.alias("seq"), wire.decoded(_bytes(n - 500, 4), F.lit(wire.DATE)).alias("date"), wire.decoded(_bytes(n * 250_001 * (n % 3) * 4, 8), F.lit(wire.TIMESTAMPTZ)).alias("moment"))
 
 
 @query(f"{_CAPTURE} SELECT id, count(*) AS n, count(*) AS n_same FROM e JOIN t USING (template) GROUP BY id")
@@ -521,10 +521,55 @@ def write_delete_visible(spark, sf_dir):
     return writes.check_delete(tables(spark, sf_dir)["ov_orders"], F.col("o_orderstatus") == "F", "tenant_id", TENANT).select("n_unrestricted", "n_restricted", "n_violations", "verdict")
 
 
-@query(f"{with_clause('ov_orders')} SELECT 'id' AS key, CASE WHEN tenant_id = '{TENANT}' THEN 'resolved' ELSE 'unattributable' END AS outcome, count(*) AS n FROM ov_orders WHERE id % 10 = 0 GROUP BY 2")
+@query(f"""{with_clause('ov_orders')}, n AS (SELECT o_custkey * 3 AS id FROM ov_orders)
+    SELECT 'id' AS key, CASE WHEN tenant_id = '{TENANT}' THEN 'resolved' ELSE 'unattributable' END AS outcome, count(*) AS n FROM n JOIN ov_orders USING (id) GROUP BY 2""")
 def write_conflict_keys(spark, sf_dir):
+    """Every order gives an incoming row, whose key an order has or has not."""
     df = tables(spark, sf_dir)["ov_orders"]
-    return writes.conflicts(df.filter(F.col("id") % 10 == 0).select("id"), df, [["id"]], "tenant_id", TENANT)
+    return writes.conflicts(df.select((F.col("o_custkey") * 3).alias("id")), df, [["id"]], "tenant_id", TENANT)
+
+
+#: (id, text, parameters, verdict, rows beyond) of captured writes as the tenant 7; counts depend on the data and are in the SQL.
+_CAPTURED_WRITES = [
+    ("insert", "INSERT INTO ov_orders (id, tenant_id) VALUES ($1, $2) RETURNING id", ("900000001", "7"), "SAFE"), ("insert_two", "INSERT INTO ov_orders (id, tenant_id) VALUES ($1, $2), ($3, '8')", ("900000001", "7", "900000002"), "LEAK"),
+    ("insert_taken", "INSERT INTO ov_orders (id, tenant_id) VALUES ($1, $2)", ("1", "none"), "UNATTRIBUTABLE"), ("insert_select", "INSERT INTO ov_orders (id, tenant_id) SELECT id, tenant_id FROM ov_orders WHERE tenant_id = $1", ("7",), "SAFE"),
+    ("update", "UPDATE ov_orders SET o_orderstatus = 'X' WHERE tenant_id = $1", ("7",), "SAFE"), ("update_moves", "-- moves rows\nUPDATE ov_orders o SET tenant_id = '8' WHERE o.tenant_id = $1", ("7",), "LEAK"),
+    ("delete", "DELETE FROM ov_orders WHERE tenant_id = $1 AND o_orderstatus = $2", ("7", "F"), "SAFE"), ("delete_join", "DELETE FROM ov_orders USING ov_supplier s WHERE ov_orders.tenant_id = $1", ("7",), "UNATTRIBUTABLE"),
+    ("with_write", "WITH gone AS (DELETE FROM ov_orders WHERE tenant_id = $1 RETURNING *) SELECT * FROM gone", ("7",), "UNATTRIBUTABLE"),
+]
+
+
+@query(f"SELECT id, verdict FROM {_values('id, verdict', [(x[0], x[3]) for x in _CAPTURED_WRITES])}")
+def diff_write_captured(spark, sf_dir):
+    known = [diff.Captured(i, sql, tuple(st.Param(p) for p in params)) for i, sql, params, _ in _CAPTURED_WRITES]
+    legs = _legs(spark, sf_dir)
+    return diff.verdicts_table(spark, diff.diff_reads(legs, known, corpus.SCOPED, {"ov_orders": [["id"]]})).select("id", "verdict")
+
+
+_COMMANDS = (
+    "INSERT OVERWRITE DIRECTORY '/tmp/isolens-never' USING parquet SELECT * FROM ov_orders WHERE tenant_id = $1", "CREATE TABLE never AS SELECT * FROM ov_orders WHERE tenant_id = $1", "DROP VIEW ov_orders; -- FROM ov_orders WHERE tenant_id = $1",
+    "SET spark.sql.ansi.enabled = false -- FROM ov_orders WHERE tenant_id = $1", "CACHE TABLE ov_orders AS SELECT * FROM ov_orders WHERE tenant_id = $1", "SELECT h.* FROM ov_orders i JOIN hidden_ov_orders h ON true WHERE i.tenant_id = $1",
+    "FROM ov_orders INSERT OVERWRITE DIRECTORY '/tmp/isolens-never' USING parquet SELECT * WHERE tenant_id = $1",
+)
+
+
+@query(f"SELECT id, 'UNATTRIBUTABLE' AS verdict, true AS still_there FROM {_values('id', [(str(i),) for i in range(len(_COMMANDS))])}")
+def audit_commands_refused(spark, sf_dir):
+    legs = _legs(spark, sf_dir)
+    found = diff.diff_reads(legs, [diff.Captured(str(i), sql, (st.Param("7"),)) for i, sql in enumerate(_COMMANDS)], corpus.SCOPED)
+    there = legs.restricted.catalog.tableExists("ov_orders") and not legs.restricted.catalog.tableExists("never") and legs.restricted.conf.get("spark.sql.ansi.enabled") == spark.conf.get("spark.sql.ansi.enabled")
+    return diff.verdicts_table(spark, found).select("id", "verdict", F.lit(there).alias("still_there"))
+
+
+@query(f"""{with_clause('ov_orders')} SELECT 'run' AS part, 'SAFE' AS verdict, CAST(count(*) AS BIGINT) AS n FROM ov_orders WHERE tenant_id = '{TENANT}'
+    UNION ALL SELECT 'claim NULL', 'resolved', count(*) FROM events""")
+def attribute_null_parameter(spark, sf_dir):
+    """A null is bound as null, and a tenant that is null is named NULL."""
+    both = diff.compare(*_legs(spark, sf_dir).run("SELECT id FROM ov_orders WHERE tenant_id = $1 AND $2 IS NULL", [TENANT, None], TENANT))
+    run = both.select(F.lit("run").alias("part"), "verdict", F.col("n_restricted").alias("n"))
+    own = _texts(spark, sf_dir, ["SELECT * FROM ov_orders WHERE tenant_id = $1"], [F.lit(None).cast("string")]).withColumn("params", F.transform("params", lambda p: p.withField("null", F.lit(True))))
+    claims = own.select(c.attribution(corpus.SCOPED)("sql", "params").alias("a")).groupBy(F.concat(F.lit("claim "), F.col("a.value")).alias("part"), F.col("a.kind").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return run.unionByName(claims)
 
 
 @query(f"{with_clause('ov_orders')} SELECT tenant_id = '0' AS replaced, count(*) AS n FROM (SELECT CASE WHEN id % 10 = 0 THEN '0' ELSE '1' END AS tenant_id FROM ov_orders) GROUP BY 1")
@@ -541,6 +586,7 @@ _SOURCES = [
     (".sql", "SELECT * FROM widgets WHERE org_id = $1", "READ", "widgets", True, False), (".sql", "SELECT * FROM widgets WHERE id = $1", "READ", "widgets", False, True),
     (".sql", "UPDATE widgets SET name = $1 WHERE id = $2", "WRITE", "widgets", False, True), (".sql", "DELETE FROM widgets AS w WHERE w.org_id = $1 OR true", "WRITE", "widgets", True, False),
     (".sql", "SELECT * FROM plain", "READ", "plain", False, False), (".sql", "Delete all encrypted data from the database.", None, None, False, False),
+    (".sql", "Select an option from the menu", None, None, False, False), (".sql", "Select one item from our catalogue", None, None, False, False), (".sql", "SELECT * FROM widgets w", None, None, False, False),
     (".go", 'package a\n// "SELECT * FROM hidden"\nvar q = "SELECT id FROM widgets;"', "READ", "widgets", False, True), (".go", "package a\nvar q = `INSERT INTO plain (a) VALUES ($1)`", "WRITE", "plain", False, False),
     (".go", '// Code generated by x. DO NOT EDIT.\nvar q = "SELECT * FROM widgets"', None, None, False, False), (".txt", "SELECT * FROM widgets", None, None, False, False),
 ]

@@ -6,10 +6,12 @@ from collections.abc import Iterable
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, ParseException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isolens.functions import statements as st
+from isolens.operators import writes
 from isolens.operators.rowfilter import Legs
 
 # How a row is written as text.
@@ -18,6 +20,10 @@ SEPARATOR, NULL = "\x1f", "\x00NULL"
 #: Statements whose two legs are compared in one Spark job.
 AT_ONCE = 32
 
+#: What a statement itself can bring about, when it is analysed and when it is run; a lost executor or a full disk is none of these.
+REFUSED = (AnalysisException, ParseException, IllegalArgumentException)
+FAILED = (*REFUSED, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, SparkRuntimeException)
+
 RESULT = "id string, verdict string, reason string, tenant string, withheld_rows long, vacuous boolean"
 
 
@@ -80,8 +86,10 @@ def _message(e: Exception) -> str:
     return str(e).strip().split("\n")[0][:200]
 
 
-def diff_reads(legs: Legs, statements: Iterable[Captured], relations: list[st.Scoped]) -> list[Verdict]:
-    """Verdicts on reading statements.
+def diff_reads(legs: Legs, statements: Iterable[Captured], relations: list[st.Scoped], keys: dict[str, list[list[str]]] | None = None) -> list[Verdict]:
+    """Verdicts on captured statements; keys: the unique keys of relations, for inserts.
+
+    Writes are judged by what they would change (see writes), commands are refused.
 
     Each distinct statement is run without and with the row filters for the tenant it claims.  AT_ONCE of them
     make one job: their rows are tagged, united and counted by (statement, row), so the comparison is one
@@ -98,21 +106,36 @@ def diff_reads(legs: Legs, statements: Iterable[Captured], relations: list[st.Sc
             done.append(Verdict(s.id, "UNATTRIBUTABLE", claim.reason or ""))
             continue
         try:
-            runs.append((s, claim.value, legs.run(s.sql, [p.text for p in s.params], claim.value)))
-        except Exception as e:  # noqa: BLE001  whatever the analyser refuses is not judged
+            if st.is_write(s.sql):
+                done.append(_judged_write(legs, s, claim.value, relations, keys or {}))
+                continue
+            runs.append((s, claim.value, legs.run(s.sql, [p.value for p in s.params], claim.value)))
+        except REFUSED as e:
             done.append(Verdict(s.id, "UNATTRIBUTABLE", f"dialect: {_message(e)}", claim.value))
     for k in range(0, len(runs), AT_ONCE):
         done += _judged(runs[k : k + AT_ONCE])
     return done
 
 
+def _judged_write(legs: Legs, s: Captured, tenant: str | None, relations: list[st.Scoped], keys: dict[str, list[list[str]]]) -> Verdict:
+    try:
+        found = writes.judge(legs, s.sql, [p.value for p in s.params], tenant, {r.name.lower(): r.tenant_column for r in relations}, keys)
+    except writes.NotReadable as e:
+        return Verdict(s.id, "UNATTRIBUTABLE", f"dialect: {e}", tenant)
+    except FAILED as e:
+        return Verdict(s.id, "UNATTRIBUTABLE", f"dialect: {_message(e)}", tenant)
+    if found.n_hidden:
+        return Verdict(s.id, "UNATTRIBUTABLE", "a unique key is taken by a row that the tenant does not see", tenant)
+    return Verdict(s.id, found.verdict, "" if found.verdict == st.SAFE else "rows written beyond the tenant's", tenant, found.withheld_rows, found.vacuous)
+
+
 def _judged(runs: list) -> list[Verdict]:
     tagged = [counted_leg(df, s.id, leg) for s, _, both in runs for leg, df in zip((1, 0), both)]
     try:
         total = reduce(DataFrame.unionAll, tagged).groupBy("id", "row").agg(F.sum("leg").alias("u"), F.sum(1 - F.col("leg")).alias("r"))
         by = total.groupBy("id").agg(F.sum("u").alias("u"), F.sum("r").alias("r"), F.sum(F.greatest(F.col("u") - F.col("r"), F.lit(0))).alias("short"))
         found = {r.id: r for r in by.select("id", *verdict_columns(F.col("u"), F.col("r"), F.col("short"))).collect()}
-    except Exception as e:  # noqa: BLE001
+    except FAILED as e:
         if len(runs) > 1:
             return [v for one in runs for v in _judged([one])]
         return [Verdict(runs[0][0].id, "UNATTRIBUTABLE", f"execution: {_message(e)}", runs[0][1])]

@@ -10,6 +10,7 @@ pushed down.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import count
@@ -48,6 +49,10 @@ def spark_text(sql: str) -> str:
     return _QUOTED.sub(one, sql)
 
 
+def as_query(sql: str) -> str:
+    return f"SELECT * FROM (\n{spark_text(sql).strip().rstrip(';')}\n)"
+
+
 @dataclass(frozen=True)
 class View:
     """A view over relations; with invoker rights it sees what the caller sees, else the whole relations."""
@@ -66,6 +71,8 @@ class Legs:
     views: dict[str, View] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        # what the views read has names that no captured statement can know
+        self._base = {name: f"base_{uuid.uuid4().hex}" for name in self.relations}
         self._id = next(_numbers)
         self.unrestricted = self._session(False)
         self.restricted = self._session(True)
@@ -76,7 +83,7 @@ class Legs:
             own.conf.set(key, self.spark.conf.get(key))
         own.sql(f"DECLARE OR REPLACE VARIABLE {VARIABLE} STRING")
         for name, df in self.relations.items():
-            hidden = f"hidden_{name}"
+            hidden = self._base[name]
             _in_session(own, df).createOrReplaceTempView(hidden)
             column = self.filters.get(name)
             if not (filtered and column):
@@ -88,17 +95,20 @@ class Legs:
                 where = f"`{column}` = TRY_CAST({VARIABLE} AS {kind.simpleString()}) AND {where}"
             own.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS SELECT * FROM {hidden} WHERE {where}")
         for name, view in self.views.items():
-            sql = view.sql if view.invoker else re.sub(rf"\b({'|'.join(self.relations)})\b", r"hidden_\1", view.sql)
+            sql = view.sql if view.invoker else re.sub(rf"\b({'|'.join(self.relations)})\b", lambda m: self._base[m[1]], view.sql)
             own.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {sql}")
         return own
 
     def run(self, sql: str, params: Sequence[str | None], tenant: str | None) -> tuple[DataFrame, DataFrame]:
-        """The statement's rows without and with the row filters; tenant None leaves the variable empty."""
+        """The statement's rows without and with the row filters; tenant None leaves the variable empty.
+
+        The statement is run as a subquery, which the grammar allows for queries alone: commands do not parse, and nothing is executed.
+        """
         args = {f"p{i}": p for i, p in enumerate(params, 1)}
         legs = []
         for own in (self.unrestricted, self.restricted):
             own.sql(f"SET VARIABLE {VARIABLE} = '{(tenant or '').replace(chr(39), chr(39) * 2)}'")
-            legs.append(own.sql(spark_text(sql), args=args))
+            legs.append(own.sql(as_query(sql), args=args))
         return legs[0], legs[1]
 
 

@@ -33,7 +33,7 @@ TEMPLATES = (
     Template("S6", "SELECT * FROM ov_orders_v WHERE tenant_id = $1", ("7",), "SAFE", "SAFE", "resolved"),
     Template("S7", "SELECT * FROM ov_orders WHERE id = $1 AND tenant_id = $2", ("1", "7"), "SAFE", "SAFE", "resolved"),
     Template("S8", "SELECT * FROM ov_orders WHERE tenant_id = $1 ORDER BY id LIMIT 10", ("7",), "SAFE", "SAFE", "resolved"),
-    Template("S9", "SELECT max(l_linenumber) FROM ov_lineitem WHERE tenant_id = $1::uuid", ("7",), "SAFE", "SAFE", "resolved"),
+    Template("S9", "INSERT INTO ov_orders (id, tenant_id, o_orderstatus) VALUES ($1, $2, $3) RETURNING *", ("900000001", "7", "O"), "SAFE", "SAFE", "resolved"),
     Template("S10", "SELECT * FROM ov_notes WHERE tenant_id = $1", ("7",), "SAFE", "SAFE", "resolved"),
     Template("L1", "SELECT * FROM ov_orders WHERE id = $1", ("1",), "LEAK", "LEAK", "no_predicate"),
     Template("L2", "SELECT count(*) FROM ov_orders", (), "LEAK", "LEAK", "no_predicate"),
@@ -50,6 +50,8 @@ TEMPLATES = (
     Template("U3", _BOTH.replace("i.id, a.note", "*"), ("7", "8"), "UNATTRIBUTABLE", "UNATTRIBUTABLE", "unattributable"),
     Template("U4", None, (), "UNATTRIBUTABLE", None, "unattributable"),
 )
+#: Beside the corpus.
+LINEITEM_MAX = Template("X1", "SELECT max(l_linenumber) FROM ov_lineitem WHERE tenant_id = $1::uuid", ("7",), "SAFE", "SAFE", "resolved")
 SCOPED = [st.Scoped(n, c) for n, c in ROW_LEVEL.items()] + [st.Scoped("ov_orders_v", "tenant_id"), st.Scoped("ov_orders_dv", "tenant_id")]
 CLASSES: dict[str, tuple[str, str | None]] = {s.name: ("scoped", s.tenant_column) for s in SCOPED} | {"ov_tenants": ("unscoped", None), "ov_ambiguous": ("unclassifiable", None)}
 VIEWS = {"ov_orders_v": View("SELECT * FROM ov_orders"), "ov_orders_dv": View("SELECT * FROM ov_orders", invoker=False)}
