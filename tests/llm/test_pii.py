@@ -79,3 +79,23 @@ def test_query(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[3] == k for s in want) for k in PATTERNS)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
     assert spans.digests(pii.find_pii(spark.createDataFrame([], "doc_id bigint, text string")), ["email"]).count() == 0
+
+
+def test_very_many_hits_in_one_text(spark):
+    """Offsets, surroundings and redaction of 24,000 hits, code points beyond the basic plane between them."""
+    text = "mail a@b.co 😀é 10.0.0.1 or " * 12_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.find_pii(docs, keep=("text",))
+    row = found.select("spans", "scores", pii.redacted(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert [(s.start, s.rank, s.end, s.kind) for s in row.spans] == brute(text)
+    assert row.clean == "mail [EMAIL] 😀é [IP] or " * 12_000
+    assert set(row.scores[::2]) == {1.0}
+
+
+def test_blocks(spark):
+    """Cuts at, before and beyond the borders of blocks are those of the text."""
+    text = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(3 * pii.BLOCK + 5))
+    edges = [0, 1, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 2 * pii.BLOCK, len(text) - 1, len(text)]
+    rows = [(text, a, b) for a in edges for b in [*edges, len(text) + 300]]
+    got = spark.createDataFrame(rows, "text string, a int, b int").select("text", "a", "b", pii._cut(pii._blocks(F.col("text")), F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(r.x == r.text[r.a : r.b] for r in got)
