@@ -44,7 +44,10 @@ def run_verify(spark: SparkSession, a: argparse.Namespace) -> int:
         print("the policy has no scoped relation", file=sys.stderr)
         return audit.EXIT["usage"]
     relations = _relations(spark, a.data, [r.name for r in scoped])
-    proven = proof.prove(spark, relations, {r.name: r.tenant_column for r in scoped}, {r.name: r.primary_key or [] for r in scoped}).cache()
+    proven = proof.prove_policy(spark, relations, scoped, proof.Role(a.role, a.superuser, a.bypass)).cache()
+    if not proof.accounted(proven, spark.createDataFrame([(r.name,) for r in scoped], "name string")).first().accounted:
+        print("not proven: a scoped relation is neither seeded nor skipped", file=sys.stderr)
+        return 1
     total = proof.aggregate(proven).first()
     if not total.proven:
         print(f"not proven: {total.first_failure}", file=sys.stderr)
@@ -58,8 +61,13 @@ def run_verify(spark: SparkSession, a: argparse.Namespace) -> int:
     events = audit.judged_events(files.read_events(spark, a.events))
     known = events.groupBy("sql", "params").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.sha2(F.concat_ws("\x1f", "sql", F.to_json("params")), 256)).cache()
     legs = Legs(spark, {n: df for n, df in relations.items()}, {r.name: r.tenant_column for r in own})
-    captured = [diff.Captured(r.id, r.sql, tuple(st.Param.of(None if p["null"] else p["value"] or "", bool(p["null"] or p["value_known"])) for p in r.params or [])) for r in known.toLocalIterator()]
-    found = diff.verdicts_table(spark, diff.diff_reads(legs, captured, [st.Scoped(r.name, r.tenant_column) for r in own]))
+    unfiltered = proof.unconfirmed(legs)
+    if unfiltered:
+        print(f"not proven: A4, no filter in the plan of {', '.join(unfiltered)}", file=sys.stderr)
+        return audit.EXIT["A4"]
+    keys = {r.name: [k for k in (r.primary_key, *(r.unique_keys or [])) if k] for r in own}
+    captured = diff.as_captured(known.toLocalIterator())
+    found = diff.verdicts_table(spark, diff.diff_reads(legs, captured, [st.Scoped(r.name, r.tenant_column) for r in own], keys))
     verdicts = audit.with_population(found.join(known, "id"), [r.name for r in own], [r.name for r in scoped if r.name not in seeded]).cache()
     print(audit.report(verdicts, proof.aggregate(proven)).first().report)
     return audit.EXIT["ceiling"] if audit.ceiling(audit.rates(audit.counts(verdicts))).first().exceeded else 0
@@ -102,6 +110,9 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("relations", nargs="+")
         if name in ("verify", "audit"):
             s.add_argument("--policy", required=True)
+            s.add_argument("--role", default="restricted", help="role that the application connects as")
+            s.add_argument("--superuser", action="store_true", help="the role is a superuser")
+            s.add_argument("--bypass", action="store_true", help="the role bypasses row filters")
         if name == "audit":
             s.add_argument("--events", required=True)
         if name == "triage":

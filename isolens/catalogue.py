@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from isolens.functions import columns as c
@@ -242,6 +242,25 @@ def seed_source_by_table(spark, sf_dir):
     return proof.prove(spark, tables(spark, sf_dir), ROW_LEVEL | STRUCTURAL, PRIMARY_KEYS).drop("skip_reason")
 
 
+_GATE = [("ov_customer", True, "sampled", True, True, True, True), ("ov_supplier", True, "sampled", False, False, True, False), ("ov_orders", True, "sampled", False, True, False, False), ("ov_notes", True, "fixture", True, True, True, True), ("ov_part", False, None, None, True, True, None)]
+
+
+@query(f"SELECT t AS \"table\", seeded, seed_source, a1, a2, a3, a4, CAST(5 AS BIGINT) AS n_scoped, CAST(4 AS BIGINT) AS n_seeded, CAST(1 AS BIGINT) AS n_skipped, true AS accounted, 'A1' AS first_failure FROM {_values('t, seeded, seed_source, a1, a2, a3, a4', _GATE)}")
+def gate_report(spark, sf_dir):
+    """The proof by a policy: a disabled filter, an owner without force, a relation without rows that has a fixture, and one that takes no canary."""
+    own = tables(spark, sf_dir)
+    own["ov_notes"] = own["ov_notes"].filter(F.lit(False))
+    fixture = [{"order_id": "1", "l_linenumber": "1", "note": "'a'"}, {"order_id": "2", "l_linenumber": "1", "note": "'b'"}]
+    field = lambda name, column, **more: Row(name=name, tenant_column=column, **{"primary_key": PRIMARY_KEYS.get(name), "unique_keys": None, "fixture": None, "owner": None, "enabled": None, "forced": None, **more})
+    scoped = [
+        field("ov_customer", "tenant_id", unique_keys=[["c_mktsegment"]]), field("ov_supplier", "tenant_id", enabled=False), field("ov_orders", "tenant_id", owner="restricted", forced=False),
+        field("ov_notes", "tenant_id", fixture=fixture), field("ov_part", "workspace_id"),
+    ]
+    proven = proof.prove_policy(spark, own, scoped)
+    whole = proof.accounted(proven, spark.createDataFrame([(r.name,) for r in scoped], "name string")).crossJoin(proof.aggregate(proven).select("first_failure"))  # one row each
+    return proven.drop("skip_reason").crossJoin(F.broadcast(whole))
+
+
 # Text of statements ------------------------------------------------------------------------------------------------------
 
 _CAPTURE = f"""WITH t AS (SELECT * FROM {_values('template, id, sql', [(i, t.id, t.sql) for i, t in enumerate(corpus.TEMPLATES)])}),
@@ -450,10 +469,9 @@ def frames_reassemble(spark, sf_dir):
 
 def _verdicts(spark, sf_dir) -> DataFrame:
     """One row for each template: id, sql, verdict, ..., n (how often it was captured), population."""
-    found = diff.verdicts_table(spark, diff.diff_reads(_legs(spark, sf_dir), corpus.statements(), corpus.SCOPED))
-    texts = spark.createDataFrame([(t.id, t.sql) for t in corpus.TEMPLATES], "id string, sql string")
-    times = corpus.captured(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return audit.with_population(found.join(texts, "id").join(times, "id"), list(ROW_LEVEL), list(STRUCTURAL))
+    known = audit.judged_events(corpus.captured(spark, sf_dir)).groupBy("id", "sql", "params").agg(F.count(F.lit(1)).alias("n"))
+    found = diff.verdicts_table(spark, diff.diff_reads(_legs(spark, sf_dir), diff.as_captured(known.toLocalIterator()), corpus.SCOPED))
+    return audit.with_population(found.join(known.drop("params"), "id"), list(ROW_LEVEL), list(STRUCTURAL))
 
 
 _EXPECTED = f"""WITH k AS (SELECT * FROM {_values('template, id, verdict, vacuous, population', [(i, t.id, t.first, t.id == 'S7' or None, {'U1': 'row_level_unattributed', 'U3': 'row_level_unattributed', 'U2': 'no_declared_table', 'U4': 'no_declared_table'}.get(t.id)) for i, t in enumerate(corpus.TEMPLATES)])}),

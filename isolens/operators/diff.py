@@ -73,6 +73,12 @@ class Captured(NamedTuple):
     params: tuple[st.Param, ...] = ()
 
 
+def as_captured(rows: Iterable) -> list[Captured]:
+    """Distinct statements (id, sql, params) of captured events as statements to be judged."""
+    bound = lambda p: st.Param.of(None if p["null"] else p["value"] or "", bool(p["null"] or p["value_known"]))
+    return [Captured(r.id, r.sql, tuple(bound(p) for p in r.params or [])) for r in rows]
+
+
 class Verdict(NamedTuple):
     id: str
     verdict: str

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ CANARY_A, CANARY_B = st.CANARIES
 KEY_SEPARATOR, KEY_NULL = "\x1c", "\x1dNULL\x1d"
 #: Tenant columns of these types take a canary's text.
 CANARY_TYPES = (T.StringType,)
+#: Who owns a relation of which a policy names no owner.
+OWNER = "owner"
 
 
 @dataclass(frozen=True)
@@ -44,10 +46,14 @@ class Role:
     bypass: bool = False
 
 
+def passes_by(flt: Filter, role: Role, owner: str) -> bool:
+    """No filter applies to the role: a superuser, one that bypasses filters, or the owner of a relation without force."""
+    return role.superuser or role.bypass or (role.name == owner and not flt.forced)
+
+
 def visible(df: DataFrame, flt: Filter, role: Role, owner: str, tenant: str) -> DataFrame:
     """What the role sees of the relation while the setting row_tenant holds the tenant."""
-    passes = role.superuser or role.bypass or (role.name == owner and not flt.forced)
-    if passes or not flt.enabled or not flt.registered:
+    if passes_by(flt, role, owner) or not flt.enabled or not flt.registered:
         return df
     if flt.column is None:
         return df.filter(F.lit(False))
@@ -96,9 +102,8 @@ def check(df: DataFrame, flt: Filter, role: Role, owner: str, tenant_column: str
     """a1, a2, a3, a4 of one relation, one row."""
     shown = visible(df, flt, role, owner, tenant)
     covered = flt.registered and flt.enabled and flt.column is not None
-    held = not (role.superuser or role.bypass or (role.name == owner and not flt.forced))
     first, last = a1(df, shown).select("a1"), a4(df, shown, tenant_column, tenant, primary_key).select("a4")
-    return first.crossJoin(last).select("a1", F.lit(covered).alias("a2"), F.lit(held).alias("a3"), "a4")
+    return first.crossJoin(last).select("a1", F.lit(covered).alias("a2"), F.lit(not passes_by(flt, role, owner)).alias("a3"), "a4")
 
 
 #: Ways to break a filter: name, control that must notice, what is changed.
@@ -227,18 +232,43 @@ def canaries(df: DataFrame, tenant_column: str, primary_key: Sequence[str] = (),
     return Seeded(both[0].unionByName(both[1]), "fixture")
 
 
-def prove(spark: SparkSession, relations: dict[str, DataFrame], tenant_columns: dict[str, str], primary_keys: dict[str, list[str]], filters: dict[str, Filter] | None = None, role: Role = Role(), owner: str = "owner") -> DataFrame:
+def prove(spark: SparkSession, relations: dict[str, DataFrame], tenant_columns: dict[str, str], primary_keys: dict[str, list[str]], filters: dict[str, Filter] | None = None, role: Role = Role(), owners: dict[str, str] | None = None, unique_keys: dict[str, list[list[str]]] | None = None, fixtures: dict[str, list[dict[str, str]]] | None = None) -> DataFrame:
     """table, seeded, seed_source, skip_reason, a1 to a4 for every scoped relation; the controls run over its rows and canaries."""
     parts = []
     for name, column in tenant_columns.items():
         df, key = relations[name], primary_keys.get(name, [])
         flt = (filters or {}).get(name, Filter(column))
-        seeded = canaries(df, column, key)
+        owner = (owners or {}).get(name, OWNER)
+        seeded = canaries(df, column, key, (unique_keys or {}).get(name, []), (fixtures or {}).get(name, []))
         head = [F.lit(name).alias("table"), F.lit(seeded.rows is not None).alias("seeded"), F.lit(seeded.source).cast("string").alias("seed_source"), F.lit(seeded.skipped).cast("string").alias("skip_reason")]
         if seeded.rows is None:
             covered = flt.enabled and flt.registered and flt.column is not None
             none = F.lit(None).cast("boolean")
-            parts.append(spark.range(1).select(*head, none.alias("a1"), F.lit(covered).alias("a2"), F.lit(not (role.superuser or role.bypass)).alias("a3"), none.alias("a4")))
+            parts.append(spark.range(1).select(*head, none.alias("a1"), F.lit(covered).alias("a2"), F.lit(not passes_by(flt, role, owner)).alias("a3"), none.alias("a4")))
         else:
             parts.append(check(df.unionByName(seeded.rows), flt, role, owner, column, CANARY_A, key).select(*head, "a1", "a2", "a3", "a4"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def prove_policy(spark: SparkSession, relations: dict[str, DataFrame], scoped: Sequence[Row], role: Role = Role()) -> DataFrame:
+    """prove() by the fields of a policy's scoped relations.
+
+    A relation of which the policy does not say otherwise has an enabled and forced filter, the owner OWNER, no unique keys besides its
+    primary key, and no fixture.
+    """
+    return prove(
+        spark, relations, {r.name: r.tenant_column for r in scoped}, {r.name: r.primary_key or [] for r in scoped},
+        {r.name: Filter(r.tenant_column, enabled=r.enabled is not False, forced=r.forced is not False) for r in scoped}, role,
+        {r.name: r.owner or OWNER for r in scoped}, {r.name: r.unique_keys or [] for r in scoped}, {r.name: r.fixture or [] for r in scoped},
+    )
+
+
+def accounted(proven: DataFrame, scoped: DataFrame) -> DataFrame:
+    """n_scoped, n_seeded, n_skipped, accounted: each scoped relation (name) is either seeded or skipped with a reason, once."""
+    seeded, skipped = F.col("seeded") & F.col("skip_reason").isNull(), ~F.col("seeded") & F.col("skip_reason").isNotNull()
+    ours = proven.select(F.col("table").alias("name"), F.lit(0).alias("wanted"), F.lit(1).alias("listed"), F.coalesce(seeded, F.lit(False)).alias("seeded"), F.coalesce(skipped, F.lit(False)).alias("skipped"))
+    both = ours.unionByName(scoped.select("name", F.lit(1).alias("wanted"), F.lit(0).alias("listed"), F.lit(False).alias("seeded"), F.lit(False).alias("skipped")))
+    by = both.groupBy("name").agg(F.sum("wanted").alias("wanted"), F.sum("listed").alias("listed"), F.count_if("seeded").alias("seeded"), F.count_if("skipped").alias("skipped"))
+    total = by.agg(F.coalesce(F.sum("wanted"), F.lit(0)).alias("n_scoped"), F.coalesce(F.sum("seeded"), F.lit(0)).alias("n_seeded"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("n_skipped"),
+        F.coalesce(F.bool_and((F.col("wanted") == 1) & (F.col("listed") == 1) & (F.col("seeded") + F.col("skipped") == 1)), F.lit(True)).alias("holds"))
+    return total.select("n_scoped", "n_seeded", "n_skipped", F.col("holds").alias("accounted"))

@@ -185,3 +185,13 @@ def test_command_line(spark, invoices, tmp_path, capsys):
     assert (doc["counts"]["n"], doc["counts"]["safe"], doc["counts"]["leak"]) == (3, 1, 2)
     (tmp_path / "none.json").write_text('{"relations": []}')
     assert main(["verify", "--data", str(tmp_path), "--policy", str(tmp_path / "none.json")]) == 2
+
+
+def test_every_scoped_relation_is_accounted_for(spark):
+    scoped = spark.createDataFrame([("a",), ("b",)], "name string")
+    said = lambda *rows: proof.accounted(spark.createDataFrame(list(rows), "table string, seeded boolean, skip_reason string"), scoped).first()
+    assert tuple(said(("a", True, None), ("b", False, "no rows"))) == (2, 1, 1, True)
+    assert not said(("a", True, None)).accounted  # b is missing
+    assert not said(("a", True, None), ("b", False, None)).accounted  # without a reason
+    assert not said(("a", True, None), ("b", False, "x"), ("c", True, None)).accounted  # nobody asked for c
+    assert not said(("a", True, None), ("a", True, None), ("b", False, "x")).accounted  # twice
