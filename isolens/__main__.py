@@ -85,15 +85,9 @@ def run_triage(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def run_capture(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Frames (Parquet) to events (JSON lines): statements of binds and plain queries."""
-    found = wire.messages(files.read_frames(spark, a.frames).filter("dir = 'F'"))
-    kinds = F.element_at(F.create_map(*[F.lit(x) for kv in {"P": "parse", "B": "bind", "CS": "close", "DS": "describe", "Q": "query"}.items() for x in kv]), F.col("type"))
-    events = found.withColumn("kind", kinds).filter("kind is not null").withColumn("seq", F.col("number").cast("long")).withColumn("stmt", F.coalesce("stmt", F.lit("")))
-    texts = F.transform("values", lambda v, i: F.struct(v.isNull().alias("null"), F.lit("text").alias("format"), F.lit(None).cast("long").alias("oid"), (v.isNull() | (F.get("formats", i) == 0)).alias("value_known"), F.when(F.get("formats", i) == 0, F.decode(v, "UTF-8")).alias("value"), F.when(F.get("formats", i) != 0, F.base64(v)).alias("value_base64"), F.when(F.get("formats", i) != 0, "binary").alias("unknown_reason")))
-    binds = resolve.resolve_binds(events).join(events.filter("kind = 'bind'").select("conn", "seq", "portal", texts.alias("params")), ["conn", "seq"])
-    queries = events.filter("kind = 'query'").select("conn", "seq", "stmt", "sql", F.lit(True).alias("resolved"), F.lit(None).cast("string").alias("portal"), F.lit(None).alias("params"))
-    both = binds.withColumn("kind", F.lit("bind")).unionByName(queries.withColumn("params", F.lit(None).cast(binds.schema["params"].dataType)).withColumn("kind", F.lit("query")))
-    files.write_events(both.withColumn("note", F.lit(None).cast("string")).select("conn", "kind", "stmt", "portal", "sql", "resolved", "note", "params"), a.out)
+    """Frames of both directions (Parquet) to events (JSON lines); the answers of the server give the types of binary parameters."""
+    found = resolve.captured(resolve.protocol_events(wire.messages(files.read_frames(spark, a.frames), startup=a.startup)))
+    files.write_events(found.drop("seq"), a.out)
     return 0
 
 
@@ -121,6 +115,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "capture":
             s.add_argument("--frames", required=True)
             s.add_argument("--out", required=True)
+            s.add_argument("--startup", action="store_true", help="connections were captured from their first byte")
     a = p.parse_args(argv)
     try:
         return a.run(session("isolens"), a)

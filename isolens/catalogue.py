@@ -399,10 +399,16 @@ def describe_fifo(spark, sf_dir):
     return resolve.described(_protocol(spark, sf_dir))
 
 
-@query(f"""{_SQL_PROTOCOL}, d AS (SELECT *, max(CASE WHEN kind = 'describe' THEN seq END) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM p)
-    SELECT d.conn, d.seq, q.stmt FROM d LEFT JOIN p q ON q.seq = d.at WHERE d.kind = 't'""")
+_SQL_ANSWERED = f"""{_SQL_PROTOCOL}, d AS (SELECT *, sum(CASE kind WHEN 'describe' THEN 1 ELSE -1 END) OVER (PARTITION BY conn ORDER BY seq) AS depth FROM p WHERE kind IN ('describe', 't')),
+    m AS (SELECT *, least(0, coalesce(min(depth) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lowest FROM d),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conn, kind ORDER BY seq) AS rank FROM m WHERE kind = 'describe' OR depth >= lowest),
+    a AS (SELECT t.conn, t.seq, s.stmt FROM k t JOIN k s ON t.conn = s.conn AND t.rank = s.rank AND t.kind = 't' AND s.kind = 'describe')"""
+
+
+@query(f"""{_SQL_ANSWERED}, r AS (SELECT conn, seq FROM p WHERE kind = 'close')
+    SELECT r.conn, r.seq, arg_max(a.stmt, a.seq) AS stmt FROM r LEFT JOIN a ON a.conn = r.conn AND a.seq < r.seq GROUP BY 1, 2""")
 def row_description_targets(spark, sf_dir):
-    own = _protocol(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "t", "T").otherwise(F.col("kind")))
+    own = _protocol(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "close", "T").otherwise(F.col("kind")))
     return resolve.row_descriptions(own)
 
 
@@ -464,6 +470,48 @@ def frames_reassemble(spark, sf_dir):
     return wire.messages(frames).select("conn", "stmt", "sql", F.col("number").cast("long").alias("number"))
 
 
+def _message(kind: str, *parts):
+    body = F.concat(*[p.cast("binary") for p in parts])
+    return F.concat(F.lit(kind).cast("binary"), _bytes(F.octet_length(body) + 4, 4), body)
+
+
+def _both_directions(spark, sf_dir) -> DataFrame:
+    """Frames of connections that prepare, ask for types, and bind four values, two of them as numbers in binary, and a null.
+
+    By connection, the server tells all types, one too few, or none; or the statement is closed before the bind.
+    """
+    n, zero = F.col("event_id"), F.unhex(F.lit("00"))
+    name, as_number = F.concat(F.lit("s"), n.cast("string")), lambda x, width: _bytes(F.lit(x), width)
+    prepare = F.concat(_message("P", name, zero, F.concat(F.lit("SELECT "), n.cast("string")), zero, as_number(0, 2)), _message("D", F.lit("S"), name, zero))
+    types = lambda *oids: _message("t", as_number(len(oids), 2), *[as_number(o, 4) for o in oids])
+    whole, short = types(wire.INT4, wire.FLOAT8, wire.TEXT, wire.TEXT), types(wire.INT4, wire.FLOAT8, wire.TEXT)
+    row = _message("T", as_number(1, 2), F.lit("c"), zero, as_number(0, 6), as_number(wire.INT4, 4), as_number(0, 8))
+    codes = F.concat(as_number(4, 2), as_number(1, 2), as_number(1, 2), as_number(0, 2), as_number(1, 2))
+    typed = F.concat(as_number(4, 4), _bytes(n, 4), as_number(8, 4), F.unhex(F.lit("3FF8000000000000")), _bytes(F.octet_length("event_type"), 4), F.col("event_type").cast("binary"), as_number(-1, 4))
+    bind = _message("B", zero, name, zero, codes, as_number(4, 2), typed, as_number(0, 2))
+    way = F.pmod(n, F.lit(4))
+    frame = lambda i, d, b: F.struct(F.lit(i).alias("turn"), F.lit(d).alias("dir"), b.alias("bytes"))
+    answer = F.when(way == 1, F.concat(short, row)).when(way == 3, F.lit(b"")).otherwise(F.concat(whole, row))
+    last = F.concat(F.when(way == 2, _message("C", F.lit("S"), name, zero)).otherwise(F.lit(b"")), bind, _message("Q", F.lit("SELECT now()"), zero))
+    cut = F.pmod(n, F.lit(7)).cast("int") + 1
+    frames = F.array(frame(0, "F", prepare), frame(1, "B", answer), frame(2, "F", F.substring(last, F.lit(1), cut)), frame(3, "F", F.substring(last, cut + 1, F.lit(10_000))))
+    own = _events(spark, sf_dir).select("event_id", F.pmod(n, F.lit(16)).cast("int").alias("conn"), F.inline(frames))
+    return own.select("conn", (F.col("event_id") * 4 + F.col("turn")).alias("seq"), "dir", "bytes")
+
+
+@query("""SELECT CAST(event_id % 16 AS INTEGER) AS conn, 'bind' AS kind, 's' || event_id AS stmt, CASE WHEN event_id % 4 <> 2 THEN 'SELECT ' || event_id END AS sql, event_id % 4 <> 2 AS resolved,
+        CASE WHEN event_id % 2 = 0 THEN event_id || '|1.5' ELSE '<undecoded>|<undecoded>' END || '|' || event_type || '|NULL' AS params,
+        CASE event_id % 4 WHEN 1 THEN '3 captured types for 4 values: not decoded' WHEN 3 THEN 'binary value without a captured type' END AS reason FROM events
+    UNION ALL SELECT event_id % 16, 'parse', 's' || event_id, 'SELECT ' || event_id, false, NULL, NULL FROM events
+    UNION ALL SELECT event_id % 16, 'close', 's' || event_id, NULL, false, NULL, NULL FROM events WHERE event_id % 4 = 2
+    UNION ALL SELECT event_id % 16, 'query', '', 'SELECT now()', true, NULL, NULL FROM events
+    UNION ALL SELECT event_id % 16, kind, 's' || event_id, NULL, true, NULL, NULL FROM events, (VALUES ('param_description'), ('row_description')) AS k(kind) WHERE event_id % 4 <> 3""")
+def capture_both_directions(spark, sf_dir):
+    found = resolve.captured(resolve.protocol_events(wire.messages(_both_directions(spark, sf_dir))))
+    reason = F.try_element_at(F.filter(F.transform("params", lambda p: p["unknown_reason"]), lambda r: r.isNotNull()), F.lit(1))
+    return found.select("conn", "kind", "stmt", "sql", "resolved", F.array_join(c.param_texts(F.col("params")), "|").alias("params"), reason.alias("reason"))
+
+
 # Audit -------------------------------------------------------------------------------------------------------------------
 
 

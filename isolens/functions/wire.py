@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MESSAGE = "conn int, dir string, number int, type string, stmt string, portal string, sql string, formats array<int>, values array<binary>, oids array<bigint>"
+MESSAGE = "conn int, dir string, number int, at bigint, type string, stmt string, portal string, sql string, formats array<int>, values array<binary>, oids array<bigint>"
 
 # Type numbers of the server's types and the day their dates count from.
 BOOL, BYTEA, INT8, INT2, INT4, TEXT, OID, FLOAT4, FLOAT8 = 16, 17, 20, 21, 23, 25, 26, 700, 701
@@ -31,19 +31,25 @@ class Framer:
     """
 
     def __init__(self, startup: bool = False) -> None:
-        self.held = b""
+        self.held = bytearray()
+        self.at = 0  # what stands before has been given out
         self.startup = startup
         self.ended = False
 
+    def _number(self, at: int) -> int:
+        return int.from_bytes(self.held[at : at + 4], "big")
+
     def _begin(self) -> Iterator[tuple[str, bytes]]:
-        while self.startup and not self.ended and len(self.held) >= 4:
-            length = int.from_bytes(self.held[:4], "big")
+        while self.startup and not self.ended and len(self.held) - self.at >= 4:
+            length = self._number(self.at)
             if not STARTUP_BOUNDS[0] <= length <= STARTUP_BOUNDS[1]:
-                self.ended, self.held = True, b""
+                self.ended = True
+                self.held.clear()
                 return
-            if len(self.held) < length:
+            if len(self.held) - self.at < length:
                 return
-            body, self.held = self.held[4:length], self.held[length:]
+            body = bytes(self.held[self.at + 4 : self.at + length])
+            self.at += length
             if int.from_bytes(body[:4], "big") not in (SSL_REQUEST, GSS_REQUEST):
                 self.startup = False
                 yield "startup", body
@@ -51,20 +57,23 @@ class Framer:
     def push(self, data: bytes) -> Iterator[tuple[str, bytes]]:
         if self.ended:
             return
+        del self.held[: self.at]
+        self.at = 0
         self.held += data
         if self.startup:
             yield from self._begin()
             if self.startup:
                 return
-        while len(self.held) >= 5:
-            length = int.from_bytes(self.held[1:5], "big")
+        while len(self.held) - self.at >= 5:
+            length = self._number(self.at + 1)
             if length < 4:
-                self.held = self.held[1:]  # lost: try again from the next byte once more has come
+                self.at += 1  # lost: try again from the next byte once more has come
                 return
-            if len(self.held) < 1 + length:
+            if len(self.held) - self.at < 1 + length:
                 return
-            yield chr(self.held[0]), self.held[5 : 1 + length]
-            self.held = self.held[1 + length :]
+            kind, body = chr(self.held[self.at]), bytes(self.held[self.at + 5 : self.at + 1 + length])
+            self.at += 1 + length
+            yield kind, body
 
 
 class Reader:
@@ -108,11 +117,11 @@ def parsed(kind: str, body: bytes, direction: str) -> Message | None:
     try:
         if direction == "F":
             if kind == "P":
-                return Message(kind, stmt=r.text(), sql=r.text(), oids=[r.number("I") for _ in range(r.number("h"))])
+                return Message(kind, stmt=r.text(), sql=r.text())
             if kind == "B":
                 portal, stmt = r.text(), r.text()
-                codes = [r.number("h") for _ in range(r.number("h"))]
-                lengths_values = [r.bytes(n) if (n := r.number("i")) >= 0 else None for _ in range(r.number("h"))]
+                codes = [r.number("H") for _ in range(r.number("H"))]
+                lengths_values = [r.bytes(n) if (n := r.number("i")) >= 0 else None for _ in range(r.number("H"))]
                 n = len(lengths_values)
                 return Message(kind, stmt, portal, formats=codes if len(codes) == n else codes * n if len(codes) == 1 else [0] * n if not codes else codes, values=lengths_values)
             if kind in "DC" and body[:1] in (b"S", b"P"):
@@ -122,10 +131,10 @@ def parsed(kind: str, body: bytes, direction: str) -> Message | None:
             if kind == "Q":
                 return Message(kind, sql=r.text())
         elif kind == "t":
-            return Message(kind, oids=[r.number("I") for _ in range(r.number("h"))])
+            return Message(kind, oids=[r.number("I") for _ in range(r.number("H"))])
         elif kind == "T":
             oids = []
-            for _ in range(r.number("h")):
+            for _ in range(r.number("H")):
                 r.text()
                 r.bytes(6)
                 oids.append(r.number("I"))
@@ -137,18 +146,33 @@ def parsed(kind: str, body: bytes, direction: str) -> Message | None:
 
 
 def messages(frames: DataFrame, startup: bool = False) -> DataFrame:
-    """The messages of each connection and direction, from its frames (conn, seq, dir, bytes) in order; startup: captured from the beginning."""
+    """The messages of each connection and direction, from its frames (conn, seq, dir, bytes) in order; startup: captured from the beginning.
+
+    number counts the messages of a direction, at is the frame in which one ends.  A task reads its connections one after the other from
+    sorted batches, so it holds a message that has begun, never a connection.
+    """
+    columns = [c.split()[0] for c in MESSAGE.split(", ")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, framer, number = None, Framer(), 0
+        for rows in batches:
+            out = []
+            for conn, seq, direction, data in zip(rows["conn"], rows["seq"], rows["dir"], rows["bytes"]):
+                if (conn, direction) != current:
+                    current, framer, number = (conn, direction), Framer(startup and direction == "F"), 0
+                for kind, body in framer.push(data or b""):
+                    message = parsed(kind, body, direction)
+                    if message:
+                        out.append((conn, direction, number, seq, *message))
+                        number += 1
+            yield pd.DataFrame(out, columns=columns)
+
+    return frames.select("conn", "seq", "dir", "bytes").repartition("conn", "dir").sortWithinPartitions("conn", "dir", "seq").mapInPandas(read, MESSAGE)
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        framer, out = Framer(startup and key[1] == "F"), []
-        for data in rows.sort_values("seq")["bytes"]:
-            for kind, body in framer.push(bytes(data)):
-                message = parsed(kind, body, key[1])
-                if message:
-                    out.append((key[0], key[1], len(out), *message))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGE.split(", ")])
 
-    return frames.groupBy("conn", "dir").applyInPandas(one, MESSAGE)
+def text_of(value: Column) -> Column:
+    """Bytes as text; what is not UTF-8 is replaced."""
+    return F.make_valid_utf8(value.cast("string"))
 
 
 def big_endian(value: Column, width: int) -> Column:
@@ -174,7 +198,7 @@ def decoded(value: Column, oid: Column) -> Column:
     return (
         F.when(oid == BOOL, F.when(F.octet_length(value) == 1, F.when(F.hex(value) == "00", "false").otherwise("true")))
         .when(oid.isin(INT2, INT4, INT8, OID), whole.cast("string"))
-        .when(oid.isin(TEXT, VARCHAR, BPCHAR, NAME), F.decode(value, "UTF-8"))
+        .when(oid.isin(TEXT, VARCHAR, BPCHAR, NAME), text_of(value))
         .when(oid == UUID, uuid_text(value))
         .when(oid == DATE, day)
         .when(oid.isin(TIMESTAMP, TIMESTAMPTZ), moment)
@@ -187,14 +211,24 @@ def decoded_with_floats(value: Column, oid: Column) -> Column:
     return F.coalesce(decoded(value, oid), _float(value, oid))
 
 
+def _shortest(value: bytes | None, oid: int | None) -> str | None:
+    """The shortest text that reads back as the same float; null for another type or width."""
+    fmt = {FLOAT4: ">f", FLOAT8: ">d"}.get(oid)
+    if value is None or fmt is None or len(value) != struct.calcsize(fmt):
+        return None
+    x = struct.unpack(fmt, value)[0]
+    if x != x or abs(x) == float("inf"):
+        return "NaN" if x != x else "+Inf" if x > 0 else "-Inf"
+    return next((s for p in range(1, 18) if struct.unpack(fmt, struct.pack(fmt, float(s := f"{x:.{p}g}")))[0] == x), repr(x))
+
+
 @F.pandas_udf(T.StringType())
 def _float(value: pd.Series, oid: pd.Series) -> pd.Series:
-    def one(v, o):
-        fmt = {FLOAT4: ">f", FLOAT8: ">d"}.get(o)
-        if v is None or fmt is None or len(v) != struct.calcsize(fmt):
-            return None
-        x = struct.unpack(fmt, v)[0]
-        short = next((s for p in range(1, 18) if struct.unpack(fmt, struct.pack(fmt, float(s := f"{x:.{p}g}")))[0] == x), repr(x)) if x == x and abs(x) != float("inf") else {True: "NaN"}.get(x != x, "+Inf" if x > 0 else "-Inf")
-        return short
-
-    return pd.Series([one(v, o) for v, o in zip(value, oid)], dtype=object)
+    return pd.Series([_shortest(v, o) for v, o in zip(value, oid)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def floats(values: pd.Series, oids: pd.Series) -> pd.Series:
+    """The texts of those binary values that are floats; null for all others."""
+    both = zip(values, oids)
+    return pd.Series([[_shortest(v, o) for v, o in zip(vs, os)] if vs is not None and os is not None else None for vs, os in both], dtype=object)

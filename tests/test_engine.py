@@ -154,6 +154,50 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.conn, r.seq, r.stmt) for r in resolve.described(events).collect()} == {(1, 3, "a")}
 
 
+def test_stream_of_row_descriptions_to_a_folder(spark, tmp_path):
+    rows = [(1, 1, "T", None, None, 0, [20]), (1, 2, "describe", "a", None, 0, None), (1, 3, "describe", "b", None, 0, None), (1, 4, "t", None, None, 0, [23]), (1, 5, "T", None, None, 0, [25])]
+    events = spark.createDataFrame(rows, "conn int, seq bigint, kind string, stmt string, sql string, n_params int, oids array<bigint>")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for key, value in capture.STATE_STORE.items():
+        spark.conf.set(key, value)
+    for _ in range(2):  # what has been written is not written again
+        found = capture.resolve_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+        capture.to_folder(found, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    back = spark.read.schema(capture.RESOLVED).json(str(tmp_path / "out"))
+    assert sorted((r.seq, r.kind, r.stmt, r.resolved, r.oids) for r in back.collect()) == [(1, "T", "", False, [20]), (5, "T", "a", True, [25])]
+    assert {(r.conn, r.seq, r.stmt) for r in resolve.row_descriptions(events).collect()} == {(1, 1, None), (1, 5, "a")}  # "b" is asked for, not answered
+
+
+def _frame(kind, body):
+    return kind + struct.pack(">i", len(body) + 4) + body
+
+
+def test_capture_decodes_by_the_types_of_the_server(spark, tmp_path):
+    bind = lambda stmt, code, *values: _frame(b"B", b"\0" + stmt + b"\0" + struct.pack(">hhh", 1, code, len(values)) + b"".join(struct.pack(">i", len(v)) + v for v in values) + b"\0\0")
+    frames = [
+        (1, 0, "F", _frame(b"P", b"a\0SELECT $1\0\0\0") + _frame(b"D", b"Pportal\0") + _frame(b"D", b"Sa\0")),
+        (1, 1, "B", _frame(b"t", struct.pack(">hI", 1, 23))), (1, 2, "B", _frame(b"t", struct.pack(">hI", 1, 25))),
+        (1, 3, "F", bind(b"a", 1, struct.pack(">i", 7)) + bind(b"a", 1, b"\1") + bind(b"a", 7, b"x") + bind(b"a", 0, b"\xff!") + bind(b"b", 1, b"")), (1, 4, "F", None), (1, 5, "F", b""),
+    ]
+    spark.createDataFrame(frames, files.FRAME).write.parquet(str(tmp_path / "frames"))
+    assert main(["capture", "--frames", str(tmp_path / "frames"), "--out", str(tmp_path / "events")]) == 0
+    found = files.read_events(spark, str(tmp_path / "events")).collect()
+    binds = sorted((r.stmt, r.resolved, p.value or "", p.oid or 0, p.unknown_reason or "") for r in found if r.kind == "bind" for p in r.params)
+    assert binds == [
+        ("a", True, "", 0, "unknown format code 7"), ("a", True, "", 23, "no decoder for type 23 of this width"), ("a", True, "7", 23, ""), ("a", True, "\ufffd!", 0, ""),
+        ("b", False, "", 0, "binary value without a captured type"),
+    ]
+    assert sorted((r.stmt, r.resolved) for r in found if r.kind == "param_description") == [("", False), ("a", True)]
+    empty = spark.createDataFrame([], files.FRAME)
+    assert resolve.captured(resolve.protocol_events(wire.messages(empty))).collect() == []
+
+
+def test_a_connection_is_shuffled_once(spark):
+    events = spark.createDataFrame([], "conn int, seq bigint, kind string, stmt string, portal string, sql string, formats array<int>, `values` array<binary>, oids array<bigint>")
+    plan = resolve.captured(events.repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "Join" not in plan
+
+
 def test_triage_texts(spark, tmp_path):
     assert triage.classified("Delete all encrypted data from the database.") is None
     assert triage.classified("Select an option from the menu below") is None
