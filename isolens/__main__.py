@@ -52,9 +52,9 @@ def run_verify(spark: SparkSession, a: argparse.Namespace) -> int:
     if not total.proven:
         print(f"not proven: {total.first_failure}", file=sys.stderr)
         return audit.EXIT[total.first_failure]
+    written = audit.text if a.output == "text" else audit.document
     if a.command == "verify":
-        for r in proven.orderBy("table").collect():
-            print(r.table, "row_level" if r.seeded else "structural_only", r.seed_source or r.skip_reason, sep="\t")
+        sys.stdout.writelines(written(audit.head(None, proven, a.shared_database), None))
         return 0
     seeded = {r.table for r in proven.filter("seeded").collect()}
     own = [r for r in scoped if r.name in seeded]
@@ -69,7 +69,7 @@ def run_verify(spark: SparkSession, a: argparse.Namespace) -> int:
     captured = diff.as_captured(known.toLocalIterator())
     found = diff.verdicts_table(spark, diff.diff_reads(legs, captured, [st.Scoped(r.name, r.tenant_column) for r in own], keys))
     verdicts = audit.with_population(found.join(known, "id"), [r.name for r in own], [r.name for r in scoped if r.name not in seeded]).cache()
-    print(audit.report(verdicts, proof.aggregate(proven)).first().report)
+    sys.stdout.writelines(written(audit.head(verdicts, proven, a.shared_database), audit.queries(verdicts).orderBy("verdict", "sql", F.to_json("params"))))
     return audit.EXIT["ceiling"] if audit.ceiling(audit.rates(audit.counts(verdicts))).first().exceeded else 0
 
 
@@ -107,6 +107,8 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--role", default="restricted", help="role that the application connects as")
             s.add_argument("--superuser", action="store_true", help="the role is a superuser")
             s.add_argument("--bypass", action="store_true", help="the role bypasses row filters")
+            s.add_argument("--shared-database", action="store_true", help="say in the report that the tests of the application share a database")
+            s.add_argument("--output", choices=("json", "text"), default="json")
         if name == "audit":
             s.add_argument("--events", required=True)
         if name == "triage":

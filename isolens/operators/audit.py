@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isolens.functions import columns as c
+from isolens.operators import proof
 
 # Labels of denominators, the ceiling and the exit codes.
 POPULATIONS = ("no_declared_table", "structural_only", "row_level_unattributed", "non_query")
@@ -66,10 +67,71 @@ def exit_code(first_failure: Column, exceeded: Column) -> Column:
     return out.when(exceeded, EXIT["ceiling"]).otherwise(0)
 
 
-def report(verdicts: DataFrame, proof: DataFrame) -> DataFrame:
-    """The report as one JSON document; no row at all unless the row filters are proven."""
-    queries = verdicts.agg(F.collect_list(F.struct(*verdicts.columns)).alias("queries"))  # distinct statements
+def queries(verdicts: DataFrame) -> DataFrame:
+    """What a report says of each distinct statement; what does not apply is null: sql, verdict, reason, tenant, params, withheld_rows, population, vacuous, n."""
+    params = F.when(F.size("params") > 0, c.param_texts(F.col("params")))
+    said = {"reason": F.nullif("reason", F.lit("")), "withheld_rows": F.nullif("withheld_rows", F.lit(0)), "vacuous": F.when(F.col("vacuous"), True), "params": params}
+    return verdicts.withColumns(said).select("sql", "verdict", "reason", "tenant", "params", "withheld_rows", "population", "vacuous", "n")
+
+
+def head(verdicts: DataFrame | None, tables: DataFrame, shared_database: bool = False) -> DataFrame:
+    """All that a report says besides its queries, in one row; none unless the row filters are proven.
+
+    tables: what was proven of each scoped relation (proof.prove); verdicts: None where no statement was judged.
+    """
+    listed = lambda when, *cols: F.array_sort(F.collect_list(F.when(when, F.struct(*cols))))
+    own = tables.agg(
+        F.array_sort(F.collect_list("table")).alias("tables"),  # relations of a policy
+        listed(F.col("seeded"), "table", "seed_source").alias("tables_row_level"),
+        listed(~F.col("seeded"), "table", F.col("skip_reason").alias("reason")).alias("tables_structural_only"),
+    )
+    checks = F.struct(*[F.col(f"{a}_passed").alias(a) for a in ("a1", "a2", "a3", "a4")])
+    one = proof.aggregate(tables).filter("proven").crossJoin(own)  # one row each
+    said = [F.col("proven"), F.lit(1).alias("tier"), F.lit("simulated").alias("proof_source"), "tables", "tables_row_level", "tables_structural_only", checks.alias("checks"), F.lit(shared_database).alias("shared_database")]
+    if verdicts is None:
+        return one.select(*said)
     by = counts(verdicts)
-    listed = rates(by).agg(F.collect_list(F.struct("label", "denominator", "unattributable", "rate")).alias("unattributable_rate_by_denominator"))
-    one = proof.filter("proven").crossJoin(by.select(F.struct(*by.columns).alias("counts"))).crossJoin(listed).crossJoin(queries)  # one row each
-    return one.select(F.to_json(F.struct(F.col("proven"), F.lit(1).alias("tier"), F.lit("simulated").alias("execution"), "counts", "unattributable_rate_by_denominator", "queries")).alias("report"))
+    counted = F.struct("n", "safe", "leak", "unattributable", F.struct(*POPULATIONS).alias("population"), "vacuous_safe").alias("counts")
+    rate = F.round(F.col("unattributable") / F.nullif("n", F.lit(0)), 6).alias("unattributable_rate")
+    entry = F.struct("label", "denominator", "unattributable", "rate")
+    place = F.array_position(F.array(*[F.lit(d) for d in DENOMINATORS]), F.col("label"))
+    rated = rates(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), entry.alias("entry")))), lambda x: x["entry"]).alias("unattributable_rate_by_denominator"))
+    return one.crossJoin(by.select(counted, rate)).crossJoin(rated).select(*said, "counts", "unattributable_rate", "unattributable_rate_by_denominator")
+
+
+def document(head_: DataFrame, queries_: DataFrame | None) -> Iterator[str]:
+    """The report as one JSON document in pieces, a statement at a time, so that it is never held as a whole."""
+    first = head_.select(F.to_json(F.struct("*"))).first()
+    if first is None:
+        return
+    yield first[0][:-1]
+    if queries_ is not None:
+        yield ', "queries": ['
+        for i, row in enumerate(queries_.select(F.to_json(F.struct("*"))).toLocalIterator()):
+            yield (",\n" if i else "\n") + row[0]
+        yield "]"
+    yield "}\n"
+
+
+def text(head_: DataFrame, queries_: DataFrame | None) -> Iterator[str]:
+    """The same for people, line by line."""
+    found = head_.first()
+    if found is None:
+        return
+    said = found.asDict(recursive=True)
+    yield from (f"{k}: {said[k]}\n" for k in ("proven", "tier", "proof_source"))
+    yield f"tables: {', '.join(said['tables'])}\n"
+    yield from (f"tables_row_level: {t['table']} (seed_source={t['seed_source']})\n" for t in said["tables_row_level"])
+    yield from (f"tables_structural_only: {t['table']} ({t['reason']})\n" for t in said["tables_structural_only"])
+    pairs = lambda d: " ".join(f"{k}={v}" for k, v in d.items())
+    yield f"checks: {pairs(said['checks'])}\nshared_database: {said['shared_database']}\n"
+    if "counts" not in said:
+        return
+    population = said["counts"].pop("population")
+    yield f"counts: {pairs(said['counts'])}\ncounts.population: {pairs(population)}\n"
+    if said["unattributable_rate"] is not None:
+        yield f"unattributable_rate: {said['unattributable_rate']:.4f}\n"
+    for e in said["unattributable_rate_by_denominator"]:
+        yield f"unattributable_rate_by_denominator: {e['label']} denominator={e['denominator']} unattributable={e['unattributable']} rate={e['rate']:.4f}\n"
+    if queries_ is not None:
+        yield from (f"query: {pairs(r.asDict())}\n" for r in queries_.toLocalIterator())

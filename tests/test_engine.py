@@ -227,6 +227,12 @@ def test_command_line(spark, invoices, tmp_path, capsys):
     assert main(["audit", "--data", str(tmp_path), "--policy", str(tmp_path / "policy"), "--events", str(tmp_path / "events")]) == 0
     doc = json.loads(capsys.readouterr().out)
     assert (doc["counts"]["n"], doc["counts"]["safe"], doc["counts"]["leak"]) == (3, 1, 2)
+    assert doc["tables_row_level"] == [{"table": "invoices", "seed_source": "sampled"}] and doc["tables_structural_only"] == [] and all(doc["checks"].values())
+    assert [(q["verdict"], q["n"], q.get("params"), q.get("withheld_rows", 0) > 0) for q in doc["queries"]] == [("LEAK", 2, None, True), ("SAFE", 1, ["acme"], False)]
+    assert main(["audit", "--data", str(tmp_path), "--policy", str(tmp_path / "policy"), "--events", str(tmp_path / "events"), "--output", "text", "--shared-database"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert "tables_row_level: invoices (seed_source=sampled)" in lines and "shared_database: True" in lines and sum(x.startswith("query: ") for x in lines) == 2
+    assert main(["verify", "--data", str(tmp_path), "--policy", str(tmp_path / "policy")]) == 0 and "counts" not in json.loads(capsys.readouterr().out)
     (tmp_path / "none.json").write_text('{"relations": []}')
     assert main(["verify", "--data", str(tmp_path), "--policy", str(tmp_path / "none.json")]) == 2
 
