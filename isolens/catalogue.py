@@ -144,7 +144,8 @@ _CLASSES = {n: ("scoped", "tenant_id") for n in ("ov_customer", "ov_lineitem", "
 
 def _catalog(spark, sf_dir) -> DataFrame:
     t = tables(spark, sf_dir)
-    return infer.catalog(spark, t | {"ov_orders_v": t["ov_orders"]}, {"ov_orders_v": "VIEW"})
+    more = {"ov_orders_v": t["ov_orders"], "ov_orders_2020": t["ov_orders"], "ov_orders_seq": t["ov_tenants"]}
+    return infer.catalog(spark, t | more, {"ov_orders_v": "VIEW", "ov_orders_seq": "OTHER"}, ["ov_orders_2020"])
 
 
 @query(f"SELECT name, columns FROM {_values('name, columns', list(_COLUMNS.items()))}")
@@ -450,6 +451,20 @@ def decode_binary_temporal(spark, sf_dir):
     return _events(spark, sf_dir).select(n.alias("seq"), wire.decoded(_bytes(n - 500, 4), F.lit(wire.DATE)).alias("date"), wire.decoded(_bytes(n * 250_001 * (n % 3) * 4, 8), F.lit(wire.TIMESTAMPTZ)).alias("moment"))
 
 
+_FLOATS = [
+    ("3FF8000000000000", "1.5"), ("412E848000000000", "1e+06"), ("40F86A0000000000", "100000"), ("4132D68700000000", "1.234567e+06"), ("3F1A36E2EB1C432D", "0.0001"), ("3EE4F8B588E368F1", "1e-05"), ("8000000000000000", "-0"),
+    ("7FF0000000000000", "+Inf"), ("7FF8000000000000", "NaN"), ("C08F38CCCCCCCCCD", "-999.1"), ("3DCCCCCD", "0.1"), ("4B7FFFFF", "1.6777215e+07"), ("00", None),
+]
+
+
+@query(f"SELECT event_id AS seq, text FROM events JOIN {_values('template, text', [(i, t) for i, (_, t) in enumerate(_FLOATS)])} ON template = event_id % {len(_FLOATS)}")
+def decode_binary_floats(spark, sf_dir):
+    """Binary floats of both widths, and one of neither."""
+    raw = F.unhex(corpus.by_template(F.pmod("event_id", F.lit(len(_FLOATS))), [h for h, _ in _FLOATS]))
+    own = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), raw.alias("raw"))
+    return own.select("seq", wire.decoded_with_floats(F.col("raw"), F.when(F.octet_length("raw") == 4, wire.FLOAT4).otherwise(wire.FLOAT8)).alias("text"))
+
+
 @query(f"{_CAPTURE} SELECT id, count(*) AS n, count(*) AS n_same FROM e JOIN t USING (template) GROUP BY id")
 def jsonl_round_trip(spark, sf_dir):
     own = corpus.captured(spark, sf_dir).withColumns({"stmt": F.lit(""), "portal": F.lit(None).cast("string"), "resolved": F.col("sql").isNotNull(), "note": F.lit(None).cast("string")})
@@ -519,7 +534,7 @@ def _verdicts(spark, sf_dir) -> DataFrame:
     """One row for each template: id, sql, verdict, ..., n (how often it was captured), population."""
     known = audit.judged_events(corpus.captured(spark, sf_dir)).groupBy("id", "sql", "params").agg(F.count(F.lit(1)).alias("n"))
     found = diff.verdicts_table(spark, diff.diff_reads(_legs(spark, sf_dir), diff.as_captured(known.toLocalIterator()), corpus.SCOPED))
-    return audit.with_population(found.join(known.drop("params"), "id"), list(ROW_LEVEL), list(STRUCTURAL))
+    return audit.with_population(found.join(known, "id"), list(ROW_LEVEL), list(STRUCTURAL))
 
 
 _EXPECTED = f"""WITH k AS (SELECT * FROM {_values('template, id, verdict, vacuous, population', [(i, t.id, t.first, t.id == 'S7' or None, {'U1': 'row_level_unattributed', 'U3': 'row_level_unattributed', 'U2': 'no_declared_table', 'U4': 'no_declared_table'}.get(t.id)) for i, t in enumerate(corpus.TEMPLATES)])}),
@@ -538,6 +553,11 @@ def audit_verdicts_corpus(spark, sf_dir):
     return _verdicts(spark, sf_dir).select("id", "verdict", "population", "n")
 
 
+@query(f"{_EXPECTED}, t AS (SELECT * FROM {_values('template, sql, params', [(i, t.sql, '|'.join(t.params) if t.params else None) for i, t in enumerate(corpus.TEMPLATES)])}) SELECT t.sql, t.params, v.verdict, v.population, v.n, CASE WHEN v.vacuous THEN true END AS vacuous FROM v JOIN k USING (id) JOIN t USING (template)")
+def audit_report_queries(spark, sf_dir):
+    return audit.queries(_verdicts(spark, sf_dir)).select("sql", F.array_join("params", "|").alias("params"), "verdict", "population", "n", "vacuous")
+
+
 @query(f"{_EXPECTED} SELECT * FROM s")
 def audit_verdict_counts(spark, sf_dir):
     return audit.counts(_verdicts(spark, sf_dir))
@@ -700,6 +720,23 @@ def declared_types(spark, sf_dir):
     return own.select("declared", F.regexp_replace(c.base_type(F.col("declared")), " +", " ").alias("base"), c.canary_text(F.col("declared"), 0).alias("canary"))
 
 
+_SAMPLES = {
+    "integer": "CAST(1000 + event_id AS VARCHAR)", "numeric(10,2)": "CAST(1000 + event_id AS VARCHAR) || '.0'", "boolean": "CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END", "character varying(9)": "'sample-' || event_id",
+    "uuid": "'00000000-0000-4000-8000-' || lpad(CAST(event_id AS VARCHAR), 12, '0')", "timestamp(6) with time zone": "strftime(TIMESTAMP '2000-01-01' + to_microseconds(event_id), '%Y-%m-%d %H:%M:%S.%f')",
+    "date": "CAST(DATE '2000-01-01' + CAST(event_id AS INTEGER) AS VARCHAR)", "time without time zone": "strftime(TIMESTAMP '2000-01-01' + to_seconds(event_id), '%H:%M:%S')", "jsonb": "'{\"sample\":' || event_id || '}'",
+    "bytea": "'\\x' || lpad(lower(hex(event_id % 256)), 2, '0')", "inet": "'127.0.0.' || (1 + event_id % 254)", "interval": "(1 + event_id) || ' seconds'", "jsonb[]": "'{\"{\\\"sample\\\":' || event_id || '}\"}'",
+    "mood": "['sad', 'ok', 'happy'][1 + event_id % 3]", "point[]": "'{}'", "point": "CAST(NULL AS VARCHAR)",
+}
+
+
+@query(f"SELECT event_id AS seq, CASE event_id % {len(_SAMPLES)} {' '.join(f'WHEN {i} THEN {_quoted(k)}' for i, k in enumerate(_SAMPLES))} END AS declared, CASE event_id % {len(_SAMPLES)} {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(_SAMPLES.values()))} END AS sample FROM events")
+def sample_values(spark, sf_dir):
+    n = F.col("event_id")
+    declared = corpus.by_template(F.pmod(n, F.lit(len(_SAMPLES))), list(_SAMPLES))
+    labels = F.when(F.col("declared") == "mood", F.array(*[F.lit(x) for x in ("sad", "ok", "happy")]))
+    return _events(spark, sf_dir).select(n.alias("seq"), declared.alias("declared")).withColumn("sample", c.sample_text(F.col("declared"), F.col("seq"), labels))
+
+
 _ARRAYS = [("{a,b}", "a|b"), ('{"a, b",NULL,"q\\"x"}', 'a, b|<null>|q"x'), ("{}", ""), ("{a,}", None), ("a,b", None)]
 
 

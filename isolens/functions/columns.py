@@ -43,6 +43,34 @@ def canary_text(declared: Column, which: int) -> Column:
     return F.when(array, None).when(base == "uuid", st.CANARY_UUIDS[which]).when(base.isin(*st.TEXT_TYPES), st.CANARIES[which])
 
 
+def sample_text(declared: Column, i: Column, labels: Column | None = None) -> Column:
+    """A value of the declared type, as text, that differs by i; null where none can be made up.
+
+    labels: those of the type where it is an enumeration; its values repeat after as many.  An array holds one sample, or
+    nothing if its elements have none.
+    """
+    array, base, at = declared.rlike(r"\[\s*\]"), base_type(declared), i.cast("long")
+    text, clock = at.cast("string"), F.pmod(at, F.lit(86_400))
+    one = (
+        F.when(base.isin("smallint", "integer", "bigint"), (at + 1000).cast("string"))
+        .when(base.isin("real", "double precision", "numeric", "decimal"), F.concat((at + 1000).cast("string"), F.lit(".0")))
+        .when(base == "boolean", (F.pmod(at, F.lit(2)) == 1).cast("string"))
+        .when(base.isin(*st.TEXT_TYPES, "citext"), F.concat(F.lit("sample-"), text))
+        .when(base == "uuid", F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(text, 12, "0")))
+        .when(base.isin("timestamp with time zone", "timestamp without time zone"), F.date_format(F.timestamp_micros(F.unix_micros(F.lit("2000-01-01 00:00:00 UTC").cast("timestamp")) + at), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        .when(base == "date", F.date_add(F.lit("2000-01-01").cast("date"), at.cast("int")).cast("string"))
+        .when(base.isin("time with time zone", "time without time zone"), F.format_string("%02d:%02d:%02d", F.floor(clock / 3600), F.floor(F.pmod(clock, F.lit(3600)) / 60), F.pmod(clock, F.lit(60))))
+        .when(base.isin("json", "jsonb"), F.concat(F.lit('{"sample":'), text, F.lit("}")))
+        .when(base == "bytea", F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.pmod(at, F.lit(256))), 2, "0"))))
+        .when(base.isin("inet", "cidr"), F.concat(F.lit("127.0.0."), (F.pmod(at, F.lit(254)) + 1).cast("string")))
+        .when(base == "interval", F.concat((at + 1).cast("string"), F.lit(" seconds")))
+    )
+    escaped = F.replace(F.replace(one, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    held = F.when(base != "", F.coalesce(F.concat(F.lit('{"'), escaped, F.lit('"}')), F.lit("{}")))
+    own = one if labels is None else F.coalesce(one, F.get(labels, F.pmod(at, F.size(labels)).cast("int")))
+    return F.when(array, held).otherwise(own)
+
+
 def quoted(name: Column) -> Column:
     """An identifier between backticks."""
     return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))

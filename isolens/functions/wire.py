@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,14 +214,25 @@ def decoded_with_floats(value: Column, oid: Column) -> Column:
 
 
 def _shortest(value: bytes | None, oid: int | None) -> str | None:
-    """The shortest text that reads back as the same float; null for another type or width."""
+    """The fewest digits that read back as the same float, with an exponent from 10^6 on and below 10^-4; null for another type or width."""
     fmt = {FLOAT4: ">f", FLOAT8: ">d"}.get(oid)
     if value is None or fmt is None or len(value) != struct.calcsize(fmt):
         return None
     x = struct.unpack(fmt, value)[0]
     if x != x or abs(x) == float("inf"):
         return "NaN" if x != x else "+Inf" if x > 0 else "-Inf"
-    return next((s for p in range(1, 18) if struct.unpack(fmt, struct.pack(fmt, float(s := f"{x:.{p}g}")))[0] == x), repr(x))
+    negative, found, exponent = Decimal(str(np.float32(x)) if oid == FLOAT4 else repr(x)).as_tuple()
+    whole = "".join(map(str, found))
+    digits, sign = whole.rstrip("0"), "-" * negative
+    if not digits:
+        return sign + "0"
+    power = len(whole) + exponent - 1
+    if not -4 <= power < 6:
+        return f"{sign}{digits[0]}{'.' * (len(digits) > 1)}{digits[1:]}e{power:+03d}"
+    if power < 0:
+        return f"{sign}0.{'0' * (-power - 1)}{digits}"
+    left = digits[: power + 1].ljust(power + 1, "0")
+    return f"{sign}{left}{'.' * (len(digits) > power + 1)}{digits[power + 1 :]}"
 
 
 @F.pandas_udf(T.StringType())

@@ -29,6 +29,8 @@ LABEL = "UNVERIFIED: syntactic triage of source text; nothing was executed and n
 STATEMENT = "file string, ordinal int, line int, name string, verb string, table string, sql string"
 
 _NAME = re.compile(NAME_PATTERN)
+_SHORT = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
+_ESCAPE = re.compile(r"""\\(?:(?P<short>[abtnvfr"\\])|(?P<octal>[0-7]{3})|x(?P<hex>[0-9A-Fa-f]{2})|(?P<point>u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})|)""")
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`", re.S)
 
 
@@ -71,6 +73,25 @@ def sql_blocks(text: str) -> list[tuple[int, str | None, str]]:
     return [(1 + text.count("\n", 0, m.start()), m[1], text[m.start() : end]) for m, end in zip(cuts, ends)]
 
 
+def unquoted(literal: str) -> str:
+    """The value of an interpreted string literal; the literal itself where an escape is none."""
+    inner, out, at = literal[1:-1], bytearray(), 0
+    for m in _ESCAPE.finditer(inner):
+        out += inner[at : m.start()].encode()
+        at = m.end()
+        number = int(m["octal"], 8) if m["octal"] else int(m["hex"], 16) if m["hex"] else None
+        point = int(m["point"][1:], 16) if m["point"] else None
+        if m["short"]:
+            out.append(_SHORT[m["short"]])
+        elif number is not None and number < 256:
+            out.append(number)  # a byte, not a character
+        elif point is not None and point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF:
+            out += chr(point).encode()
+        else:
+            return literal
+    return (out + inner[at:].encode()).decode("utf-8", "replace")
+
+
 def go_literals(text: str) -> list[tuple[int, str | None, str]]:
     """(line, name, value) of each string literal outside comments; none for generated files."""
     if re.search(GENERATED_PATTERN, text):
@@ -81,7 +102,7 @@ def go_literals(text: str) -> list[tuple[int, str | None, str]]:
         if raw[0] == "`":
             value = raw[1:-1].replace("\r", "")
         elif raw[0] == '"':
-            value = re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t", "r": "\r"}.get(e[1], e[1]), raw[1:-1])
+            value = unquoted(raw)
         else:
             continue
         named = _NAME.search(value.strip())

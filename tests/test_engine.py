@@ -203,6 +203,8 @@ def test_triage_texts(spark, tmp_path):
     assert triage.classified("Select an option from the menu below") is None
     assert triage.classified("-- name: GetX :one\nSELECT a FROM widgets w WHERE x = 1") == ("READ", "widgets")
     assert triage.classified("WITH x AS (SELECT 1) UPDATE widgets SET a = 1") == ("WRITE", "widgets")
+    assert triage.go_literals(r'var q = "SELECT\u0020\x61\x20FROM\040t\t\"x\" -- \303\244"')[0][2] == 'SELECT a FROM t\t"x" -- \u00e4'
+    assert triage.go_literals(r'var q = "no \q escape", "\777", "\ud800"') == [(1, None, r'"no \q escape"'), (1, None, r'"\777"'), (1, None, r'"\ud800"')]
     (tmp_path / "migrations").mkdir()
     (tmp_path / "vendor").mkdir()
     (tmp_path / "a.sql").write_text("-- name: A :one\nSELECT * FROM widgets WHERE organization_id = $1;\n-- name: B :one\nSELECT * FROM widgets WHERE id = $1;\n")
