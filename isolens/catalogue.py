@@ -642,7 +642,7 @@ _COMMANDS = (
 @query(f"SELECT id, 'UNATTRIBUTABLE' AS verdict, true AS still_there FROM {_values('id', [(str(i),) for i in range(len(_COMMANDS))])}")
 def audit_commands_refused(spark, sf_dir):
     legs = _legs(spark, sf_dir)
-    found = diff.diff_reads(legs, [diff.Captured(str(i), sql, (st.Param("7"),)) for i, sql in enumerate(_COMMANDS)], corpus.SCOPED)
+    found = list(diff.diff_reads(legs, [diff.Captured(str(i), sql, (st.Param("7"),)) for i, sql in enumerate(_COMMANDS)], corpus.SCOPED))
     there = legs.restricted.catalog.tableExists("ov_orders") and not legs.restricted.catalog.tableExists("never") and legs.restricted.conf.get("spark.sql.ansi.enabled") == spark.conf.get("spark.sql.ansi.enabled")
     return diff.verdicts_table(spark, found).select("id", "verdict", F.lit(there).alias("still_there"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import deque
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
@@ -17,8 +19,8 @@ from isolens.operators.rowfilter import Legs
 # How a row is written as text.
 SEPARATOR, NULL = "\x1f", "\x00NULL"
 
-#: Statements whose two legs are compared in one Spark job.
-AT_ONCE = 32
+#: Statements whose two legs are compared in one Spark job, and such jobs at a time.
+AT_ONCE, JOBS = 8, 4
 
 #: What a statement itself can bring about, when it is analysed and when it is run; a lost executor or a full disk is none of these.
 REFUSED = (AnalysisException, ParseException, IllegalArgumentException)
@@ -73,10 +75,10 @@ class Captured(NamedTuple):
     params: tuple[st.Param, ...] = ()
 
 
-def as_captured(rows: Iterable) -> list[Captured]:
-    """Distinct statements (id, sql, params) of captured events as statements to be judged."""
+def as_captured(rows: Iterable) -> Iterator[Captured]:
+    """Distinct statements (id, sql, params) of captured events as statements to be judged, one after the other."""
     bound = lambda p: st.Param.of(None if p["null"] else p["value"] or "", bool(p["null"] or p["value_known"]))
-    return [Captured(r.id, r.sql, tuple(bound(p) for p in r.params or [])) for r in rows]
+    return (Captured(r.id, r.sql, tuple(bound(p) for p in r.params or [])) for r in rows)
 
 
 class Verdict(NamedTuple):
@@ -92,35 +94,49 @@ def _message(e: Exception) -> str:
     return str(e).strip().split("\n")[0][:200]
 
 
-def diff_reads(legs: Legs, statements: Iterable[Captured], relations: list[st.Scoped], keys: dict[str, list[list[str]]] | None = None) -> list[Verdict]:
-    """Verdicts on captured statements; keys: the unique keys of relations, for inserts.
+def diff_reads(legs: Legs, statements: Iterable[Captured], relations: list[st.Scoped], keys: dict[str, list[list[str]]] | None = None) -> Iterator[Verdict]:
+    """Verdicts on captured statements, as they come; keys: the unique keys of relations, for inserts.
 
     Writes are judged by what they would change (see writes), commands are refused.
 
     Each distinct statement is run without and with the row filters for the tenant it claims.  AT_ONCE of them
     make one job: their rows are tagged, united and counted by (statement, row), so the comparison is one
     distributed aggregation and the driver receives a row for each statement.  If such a job fails, its statements
-    are run one by one, and those that fail are unattributable.
+    are run one by one, and those that fail are unattributable.  While up to JOBS of them are planned and run, the next statements are
+    analysed, so the driver holds the plans of (JOBS + 1) * AT_ONCE statements, however many there are.
     """
-    done, runs = [], []
-    for s in statements:
-        if s.sql is None:
-            done.append(Verdict(s.id, "UNATTRIBUTABLE", "unresolved statement"))
-            continue
-        claim = st.attribute(s.sql, relations, s.params)
-        if claim.kind == st.UNATTRIBUTABLE:
-            done.append(Verdict(s.id, "UNATTRIBUTABLE", claim.reason or ""))
-            continue
-        try:
-            if st.is_write(s.sql):
-                done.append(_judged_write(legs, s, claim.value, relations, keys or {}))
+    runs, jobs = [], deque()
+    with ThreadPoolExecutor(JOBS) as pool:
+        for s in statements:
+            found = _claimed(legs, s, relations, keys or {})
+            if isinstance(found, Verdict):
+                yield found
                 continue
-            runs.append((s, claim.value, legs.run(s.sql, [p.value for p in s.params], claim.value)))
-        except REFUSED as e:
-            done.append(Verdict(s.id, "UNATTRIBUTABLE", f"dialect: {_message(e)}", claim.value))
-    for k in range(0, len(runs), AT_ONCE):
-        done += _judged(runs[k : k + AT_ONCE])
-    return done
+            runs.append(found)
+            if len(runs) == AT_ONCE:
+                jobs.append(pool.submit(_judged, runs))
+                runs = []
+                if len(jobs) == JOBS:
+                    yield from jobs.popleft().result()
+        if runs:
+            jobs.append(pool.submit(_judged, runs))
+        for job in jobs:
+            yield from job.result()
+
+
+def _claimed(legs: Legs, s: Captured, relations: list[st.Scoped], keys: dict[str, list[list[str]]]) -> Verdict | tuple[Captured, str | None, tuple[DataFrame, DataFrame]]:
+    """The verdict, where no query has to be run for it; else the statement, its tenant and both legs, analysed."""
+    if s.sql is None:
+        return Verdict(s.id, "UNATTRIBUTABLE", "unresolved statement")
+    claim = st.attribute(s.sql, relations, s.params)
+    if claim.kind == st.UNATTRIBUTABLE:
+        return Verdict(s.id, "UNATTRIBUTABLE", claim.reason or "")
+    try:
+        if st.is_write(s.sql):
+            return _judged_write(legs, s, claim.value, relations, keys)
+        return s, claim.value, legs.run(s.sql, [p.value for p in s.params], claim.value)
+    except REFUSED as e:
+        return Verdict(s.id, "UNATTRIBUTABLE", f"dialect: {_message(e)}", claim.value)
 
 
 def _judged_write(legs: Legs, s: Captured, tenant: str | None, relations: list[st.Scoped], keys: dict[str, list[list[str]]]) -> Verdict:
@@ -153,5 +169,5 @@ def counted_leg(df: DataFrame, id_: str, leg: int) -> DataFrame:
     return rendered(df).select(F.lit(id_).alias("id"), "row", F.lit(leg).alias("leg"))
 
 
-def verdicts_table(spark: SparkSession, verdicts: list[Verdict]) -> DataFrame:
-    return spark.createDataFrame(verdicts, RESULT)
+def verdicts_table(spark: SparkSession, verdicts: Iterable[Verdict]) -> DataFrame:
+    return spark.createDataFrame(list(verdicts), RESULT)
