@@ -14,7 +14,8 @@ A conversation longer than PART bytes is returned in several parts of whole turn
 that memory stays bounded however long it is.
 
 Null texts and roles count as empty; a null turn comes first, ties are ordered by role and text; repeated
-rows are turns of their own; a null conv_id is a conversation; columns besides the four named are ignored.
+rows are turns of their own; a null conv_id is a conversation; columns besides the four named are ignored; an
+empty table gives no rows.  A turn of any length is one turn and may make its part longer than PART.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ surroundings are read from blocks of the text, so that a text with very many spa
 that Java's matcher neither recurses over a long match nor starts again inside a run that cannot match: an
 assertion admits only a run's beginning or the end of the match before it (\\G).
 
-A null or empty text has no spans; repeated rows give a row each; columns besides the two named are ignored.
+A null or empty text has no spans; repeated rows give a row each; columns besides the two named are ignored; an empty
+table gives no rows.  A text of any length is searched whole.  Spans that begin at the same place stand in the order of the kinds.
 """
 
 from __future__ import annotations

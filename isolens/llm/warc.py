@@ -12,7 +12,7 @@ in it and are fetched afterwards by record id.
 
 Records at the same time are ordered by record_id, and a response with the revisit's own time and a smaller id
 counts as earlier.  Null times come first; a null or unparsable URL matches nothing; null headers are none; repeated rows
-give a row each; columns besides those named are ignored.  record_id must name one response; revisits may
+give a row each; columns besides those named are ignored; an empty table gives no rows; payloads of any length are whole.  record_id must name one response; revisits may
 share one or have none, and each is judged by its own headers.
 """
 
