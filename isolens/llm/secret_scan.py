@@ -8,7 +8,7 @@ trigram (a run of hexadecimal digits) gives the query "all" and scans every text
 Index and texts are read in the same pass: nothing is shuffled, and a lost task is simply run again.
 
 A null or empty text has no spans; repeated rows give a row each; columns besides the two named are ignored; an empty
-table gives no rows.  A text of any length is one text: chunks hold whole texts, and rules have no longest match.  Spans that
+table gives no rows.  A text of any length is searched as one, and tokens of open length are found whole.  Spans that
 begin at the same place stand in the order of the rules.
 """
 
