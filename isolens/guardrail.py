@@ -7,10 +7,11 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from isolens.functions import statements as st
-from isolens.operators.rowfilter import spark_text
+from isolens.operators.rowfilter import as_query, spark_text
 
 _tenant: ContextVar[str | None] = ContextVar("tenant", default=None)
 
@@ -50,7 +51,10 @@ def tenant_from_context() -> str | None:
 
 
 class GuardedSession:
-    """sql() checks a statement's text and parameters before the session sees it; nothing else of the session is offered."""
+    """sql() and first() run queries, execute() writes; a statement's text and parameters are checked before the session sees them.
+
+    Nothing else of the session is offered.
+    """
 
     def __init__(self, spark: SparkSession, classes: dict[str, tuple[str, str | None]]) -> None:
         self.__spark, self.__classes = spark, dict(classes)
@@ -67,5 +71,24 @@ class GuardedSession:
             raise UnscopedQuery(found.reason) if found.reason.startswith("no ") else WrongTenant(found.reason)
 
     def sql(self, sql: str, args: Sequence[Any] = (), tenant: str | None = None) -> DataFrame:
+        """A query's rows; commands are refused, as they do not parse as a subquery."""
+        self.check(sql, args, tenant)
+        try:
+            self.__run(as_query(sql), args)
+        except ParseException as e:
+            raise Unattributable("not a query") from e
+        return self.__run(spark_text(sql), args)
+
+    def first(self, sql: str, args: Sequence[Any] = (), tenant: str | None = None) -> Row | None:
+        """A query's first row, None if it has none."""
+        return self.sql(sql, args, tenant).first()
+
+    def execute(self, sql: str, args: Sequence[Any] = (), tenant: str | None = None) -> None:
+        """Runs a write."""
         self.check(sql, args, tenant)
-        return self.__spark.sql(spark_text(sql), args={f"p{i}": a for i, a in enumerate(args, 1)})
+        if not st.is_write(sql):
+            raise Unattributable("not a write")
+        self.__run(spark_text(sql), args)
+
+    def __run(self, sql: str, args: Sequence[Any]) -> DataFrame:
+        return self.__spark.sql(sql, args={f"p{i}": a for i, a in enumerate(args, 1)})

@@ -73,6 +73,26 @@ def test_guardrail(spark, invoices):
     assert not hasattr(g, "spark")
 
 
+def test_guarded_writes_and_rows(spark, tmp_path):
+    spark.sql(f"CREATE TABLE guarded (id BIGINT, tenant_id STRING) USING parquet LOCATION '{tmp_path / 'guarded'}'")
+    try:
+        g = guardrail.GuardedSession(spark, {"guarded": ("scoped", "tenant_id")})
+        with guardrail.with_tenant("acme"):
+            g.execute("INSERT INTO guarded (id, tenant_id) VALUES ($1, $2)", [1, "acme"])
+            with pytest.raises(guardrail.WrongTenant):
+                g.execute("INSERT INTO guarded (id, tenant_id) VALUES ($1, $2)", [2, "globex"])
+            with pytest.raises(guardrail.Unattributable, match="not a write"):
+                g.execute("SELECT * FROM guarded WHERE tenant_id = $1", ["acme"])
+            for sql in ("INSERT INTO guarded (id, tenant_id) VALUES (3, $1)", "CREATE TABLE taken USING parquet AS SELECT * FROM guarded WHERE tenant_id = $1"):
+                with pytest.raises(guardrail.Unattributable, match="not a query"):
+                    g.sql(sql, ["acme"])
+            assert tuple(g.first("SELECT * FROM guarded WHERE tenant_id = $1 ORDER BY id", ["acme"])) == (1, "acme")
+            assert g.first("SELECT * FROM guarded WHERE tenant_id = $1 AND id = 9", ["acme"]) is None
+        assert spark.table("guarded").count() == 1 and not spark.catalog.tableExists("taken")
+    finally:
+        spark.sql("DROP TABLE guarded")
+
+
 def test_canaries(spark, invoices):
     seeded = proof.canaries(invoices, "tenant_id", ["id"])
     assert seeded.source == "sampled" and sorted((r.id, r.tenant_id, r.status) for r in seeded.rows.collect()) == [(1000, proof.CANARY_A, "open"), (1001, proof.CANARY_B, "open")]
