@@ -23,6 +23,7 @@ score have equal weights, so the order of rows decides nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +53,8 @@ RIDGE = 1.0
 ADDRESS = ("you", "your", "you're", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "vous", "votre", "te", "ti", "tú", "usted", "ustedes", "vosotros")
 
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)]).astype(np.uint8)
+_CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
+_SIGN = np.array([chr(b) in "*@$#0123456789" for b in range(256)]).astype(np.uint8)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,6 +75,69 @@ def marks(chunk: textkit.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(kinds), np.concatenate(hashes)
 
 
+class Words(NamedTuple):
+    """The words of a chunk, lower-cased: byte ranges, which of the distinct words each is, and the marks of distinct words.
+
+    marks[kind, word] are the hashes that marks() gives, where has[kind, word]: what depends on the word alone is found once a chunk.
+    """
+
+    at: textkit.Tokens
+    which: np.ndarray
+    marks: np.ndarray
+    has: np.ndarray
+
+    def holding(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (text, value) of values below 2^32 by kind and word, in order; those below 0 are none."""
+        own = (value >= 0).any(axis=0)
+        places = slice(None) if own.all() else np.flatnonzero(own[self.which])
+        pairs = _unique(self.at.doc[places] << 32 | self.which[places])
+        value = value[:, pairs & 0xFFFFFFFF]
+        pairs = _unique(((pairs >> 32 << 32) | value)[value >= 0])
+        return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _unique(value: np.ndarray) -> np.ndarray:
+    value = np.sort(value)
+    new = np.ones(len(value), bool)
+    np.not_equal(value[1:], value[:-1], out=new[1:])
+    return value[new]
+
+
+def _translated(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] of bytes."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), np.uint8)
+
+
+def _lettered(chunk: textkit.Chunk) -> textkit.Tokens:
+    """textkit.runs(chunk, _LETTER): with one class of bytes, words begin and end where letters do."""
+    letter = _translated(chunk.data, _LETTER).view(bool)
+    begins = chunk.offsets[:-1][chunk.offsets[:-1] < len(letter)]
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    first[begins] = letter[begins]
+    last[:-1] &= ~letter[1:]
+    last[begins - 1] = letter[begins - 1]  # of the first text: the last byte, where a word ends if it is a letter
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return textkit.Tokens(start, end, np.repeat(np.arange(chunk.n), np.diff(np.searchsorted(start, chunk.offsets))))
+
+
+def words_of(chunk: textkit.Chunk) -> Words:
+    low = _translated(chunk.data, textkit.LOWER)
+    at = _lettered(chunk)
+    hasher = textkit.Hasher(low)
+    coded = pa.array(hasher(at.start, at.end)).dictionary_encode()
+    which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+    one = np.empty(len(distinct), np.int64)
+    one[which] = np.arange(len(which))
+    start, length = at.start[one], at.end[one] - at.start[one]
+    marks, has = np.zeros((len(BEGINNINGS) + 1, len(distinct)), np.uint64), np.ones((len(BEGINNINGS) + 1, len(distinct)), bool)
+    marks[0] = distinct
+    for k, n in enumerate(BEGINNINGS, 1):
+        has[k] = length >= n
+        marks[k, has[k]] = textkit.mix(hasher(start[has[k]], start[has[k]] + n) + np.uint64(k))
+    return Words(at, which, marks, has)
+
+
 def _distinct(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by = np.lexsort((value, doc))
     doc, value = doc[by], value[by]
@@ -167,30 +233,49 @@ def mine(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 def _hidden(data: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Places of a sign or digit between two letters of one text; new: the first byte of each text."""
-    letter = _LETTER[data] > 0
-    sign = np.isin(data, np.frombuffer(b"*@$#0123456789", np.uint8))
-    out = np.zeros(len(data), bool)
-    out[1:-1] = sign[1:-1] & letter[:-2] & letter[2:]
-    out[1:] &= ~new[1:]
-    out[:-1] &= ~new[1:]
-    return np.flatnonzero(out)
+    at = np.flatnonzero(_translated(data[1:-1], _SIGN)) + 1
+    return at[(_LETTER[data[at - 1]] > 0) & (_LETTER[data[at + 1]] > 0) & ~new[at] & ~new[at + 1]]
+
 
+def _capitals(data: np.ndarray, words: textkit.Tokens) -> np.ndarray:
+    """Places of the words of four bytes and more that are all capitals A-Z."""
+    at = np.flatnonzero(words.end - words.start >= 4)
+    for k in range(4):
+        at = at[_CAPITAL[data[words.start[at] + k]]]
+    if not len(at):
+        return at
+    length = words.end[at] - words.start[at]
+    cut = np.cumsum(length) - length
+    inside = np.repeat(words.start[at] - cut, length) + np.arange(length.sum())
+    return at[np.add.reduceat(_CAPITAL[data[inside]].astype(np.int64), cut) == length]
 
+
+@lru_cache(maxsize=1)
 def _address() -> np.ndarray:
     raw = np.frombuffer("\n".join(ADDRESS).encode(), np.uint8)
     at = textkit.runs(textkit.Chunk(0, raw, np.array([0, len(raw)])), _LETTER)
     return np.unique(textkit.Hasher(raw)(at.start, at.end))
 
 
-def votes(chunk: textkit.Chunk, lexicon: Lexicon) -> np.ndarray:
+def _places(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each hash among the known ones, which are sorted; -1: not there."""
+    beginning = np.zeros(1 << 16, bool)
+    beginning[known >> np.uint64(48)] = True
+    out = np.full(h.shape, -1)
+    maybe = np.nonzero(beginning[h >> np.uint64(48)])
+    at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+    out[maybe] = np.where(known[at] == h[maybe], at, -1)
+    return out
+
+
+def votes(chunk: textkit.Chunk, lexicon: Lexicon, words: Words | None = None) -> np.ndarray:
     """For each text, the bits of the voters that speak up."""
     n, out = chunk.n, np.zeros(chunk.n, np.int64)
     if not len(lexicon.hashes):
         return out
-    mark_doc, _, h = marks(chunk)
-    at = np.minimum(np.searchsorted(lexicon.hashes, h), len(lexicon.hashes) - 1)
-    hit = lexicon.hashes[at] == h
-    doc, at = _distinct(mark_doc[hit], at[hit])
+    words = words or words_of(chunk)
+    place = np.where(words.has, _places(lexicon.hashes, words.marks), -1)
+    doc, at = words.holding(place)
     np.bitwise_or.at(out, doc, np.left_shift(1, lexicon.voters[at]))
     any_hit = out != 0
 
@@ -203,25 +288,22 @@ def votes(chunk: textkit.Chunk, lexicon: Lexicon) -> np.ndarray:
     new[chunk.offsets[:-1]] = True
     new = new[: len(data)]
     vote(HIDDEN, np.bincount(of(_hidden(data, new)), minlength=n) > 0)
-    words = textkit.runs(chunk, _LETTER)
-    capital = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    long = words.end - words.start >= 4
-    loud = long & (capital[words.end] - capital[words.start] == words.end - words.start)
-    vote(CAPITALS, np.bincount(words.doc[loud], minlength=n) >= 2)
+    start, of_word = words.at.start, words.at.doc
+    vote(CAPITALS, np.bincount(of_word[_capitals(data, words.at)], minlength=n) >= 2)
     twice = np.flatnonzero((data[1:] == 33) & (data[:-1] == 33) & ~new[1:]) if len(data) else np.zeros(0, np.int64)
     vote(EXCLAIMED, np.bincount(of(twice), minlength=n) > 0)
-    h = textkit.Hasher(textkit.LOWER[data])(words.start, words.end)
-    known = _address()
-    addressed = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-    found = lexicon.hashes[np.minimum(np.searchsorted(lexicon.hashes, h), len(lexicon.hashes) - 1)] == h
-    near = np.zeros(len(h), bool)
-    for k in (1, 2, 3):
-        same = (words.doc[k:] == words.doc[:-k]) & ((addressed[:-k] & found[k:]) | (found[:-k] & addressed[k:]))
-        near[k:] |= same
-    vote(ADDRESSED, np.bincount(words.doc[near], minlength=n) > 0)
-    before = data[np.maximum(words.start - 1, 0)]
-    vote(QUOTED, np.bincount(words.doc[found & (words.start > 0) & ((before == 34) | (before == 39))], minlength=n) > 0)
-    vote(PLAINLY, ~any_hit & (out == 0) & (np.bincount(words.doc, minlength=n) >= PLAIN))
+    found = np.flatnonzero((place[0] >= 0)[words.which])
+    addressed = (_places(_address(), words.marks[0]) >= 0)[words.which]
+    near = np.zeros(n, bool)
+    for k in (-3, -2, -1, 1, 2, 3):
+        other = found + k
+        inside = (other >= 0) & (other < len(of_word))
+        own, other = found[inside], other[inside]
+        near[of_word[own[addressed[other] & (of_word[own] == of_word[other])]]] = True
+    vote(ADDRESSED, near)
+    before = data[np.maximum(start[found] - 1, 0)]
+    vote(QUOTED, np.bincount(of_word[found[(start[found] > 0) & ((before == 34) | (before == 39))]], minlength=n) > 0)
+    vote(PLAINLY, ~any_hit & (out == 0) & (np.bincount(of_word, minlength=n) >= PLAIN))
     return out
 
 
@@ -299,9 +381,15 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1] + np.log(1 / self.share - 1), -500, 500)))
 
 
+def _feature(words: Words) -> np.ndarray:
+    """The features by kind and distinct word; -1: none."""
+    return np.where(words.has, (words.marks >> np.uint64(64 - BITS)).astype(np.int64), -1)
+
+
 def _features(chunk: textkit.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    doc, _, h = marks(chunk)
-    return doc, (h >> np.uint64(64 - BITS)).astype(np.int64)
+    """The distinct (text, feature)."""
+    words = words_of(chunk)
+    return words.holding(_feature(words))
 
 
 class Posterior(NamedTuple):
@@ -322,9 +410,10 @@ def _evidence(lexicon: Lexicon, posterior: Posterior):
         n, all_toxic = 0, 0.0
         for batch in batches:
             for chunk in textkit.chunks(batch.column(0)):
-                q = posterior(votes(chunk, lexicon))
+                words = words_of(chunk)
+                q = posterior(votes(chunk, lexicon, words))
                 n, all_toxic = n + chunk.n, all_toxic + float(q.sum())
-                doc, feature = _distinct(*_features(chunk))
+                doc, feature = words.holding(_feature(words))
                 df += np.bincount(feature, minlength=len(df))
                 toxic += np.bincount(feature, weights=q[doc], minlength=len(df))
         df[-1], toxic[-1] = n, all_toxic
@@ -346,15 +435,14 @@ def _sets(lexicon: Lexicon, chosen: np.ndarray):
     """(pattern, features): for each text its votes and the places in chosen of the features that it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << BITS, -1)
+        place = np.full((1 << BITS) + 1, -1)
         place[chosen] = np.arange(len(chosen))
         for batch in batches:
             for chunk in textkit.chunks(batch.column(0)):
-                doc, feature = _features(chunk)
-                known = place[feature] >= 0
-                doc, feature = _distinct(doc[known], place[feature[known]])
+                words = words_of(chunk)
+                doc, feature = words.holding(place[_feature(words)])
                 cuts = np.searchsorted(doc, np.arange(chunk.n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(votes(chunk, lexicon)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))], ["pattern", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(votes(chunk, lexicon, words)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))], ["pattern", "features"])
 
     return run
 
@@ -427,11 +515,12 @@ def train(sets: DataFrame, posterior: Posterior, n_features: int, ridge: float =
 
 def _scored(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighty = np.append(weights != 0, False)
         for batch in batches:
             for chunk in textkit.chunks(batch.column(2)):
-                doc, feature = _features(chunk)
-                known = weights[feature] != 0
-                doc, feature = _distinct(doc[known], feature[known])
+                words = words_of(chunk)
+                feature = _feature(words)
+                doc, feature = words.holding(np.where(weighty[feature], feature, -1))
                 logit = np.bincount(doc, weights=weights[feature], minlength=chunk.n) + bias
                 rows = slice(chunk.first, chunk.first + chunk.n)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], ["doc_id", "held_out", "score"])

@@ -85,3 +85,38 @@ def test_pattern_voters():
     bits = t.votes(next(textkit.chunks(pa.array(texts))), lexicon)
     have = [{v for v in range(t.VOTERS) if b >> v & 1} for b in bits]
     assert have == [{0, t.ADDRESSED}, {0, t.QUOTED}, {t.HIDDEN}, {t.CAPITALS}, {t.EXCLAIMED}, {t.PLAINLY}, set(), set()]
+
+
+def test_words_are_read_once_a_chunk(monkeypatch):
+    """Votes and features of a chunk come from the same words: one pass of hashing each for evidence and sets, whatever the texts."""
+    lexicon = t.Lexicon(textkit.Hasher(np.frombuffer(b"idiot", np.uint8))(np.array([0]), np.array([5])), np.array([0]), 0.1)
+    texts = ["you idiot", "plain " * 60, "", None, "ID1OT!! Idiot"]
+    every = t.Posterior(np.arange(1 << t.VOTERS), np.full(1 << t.VOTERS, 0.5))
+    made, plain = [], textkit.Hasher
+    t._address()
+    monkeypatch.setattr(textkit, "Hasher", lambda data, *seed: made.append(len(data)) or plain(data, *seed))
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])
+    (seen,), (sets,) = t._evidence(lexicon, every)(batch()), t._sets(lexicon, np.arange(1 << t.BITS))(batch())
+    assert made == [sum(len(x or "") for x in texts)] * 2
+    assert seen.column(1).to_pylist()[-1] == 5 and [len(x) > 0 for x in sets.column(1).to_pylist()] == [True, True, False, False, True]
+
+
+def test_words_and_patterns_equal_plain_ones():
+    """Words, distinct features and pattern places of random texts against textkit.runs, marks() and plain Python, over ends of texts and empty ones."""
+    rng = np.random.default_rng(5)
+    parts = ["idiot", "IDIOT", "ABCDEFG", "ABCDeFG", "you", "é", "ÀBCDE", "a1b", "*", "!!", "!", " ", " ", "\n", '"', "x" * 40, "9", "-"]
+    cases = [[], ["", None], ["a"], ["1"], ["a", "", "b", "1", "c"]] + [["".join(rng.choice(parts, int(rng.integers(0, 12)))) for _ in range(int(rng.integers(1, 40)))] for _ in range(60)]
+    for texts in cases:
+        for chunk in textkit.chunks(pa.array(texts, pa.string())):
+            words, runs = t._lettered(chunk), textkit.runs(chunk, t._LETTER)
+            assert all(np.array_equal(a, b) for a, b in zip(words, runs))
+            doc, _, h = t.marks(chunk)
+            assert set(zip(doc.tolist(), (h >> np.uint64(64 - t.BITS)).astype(int).tolist())) == set(zip(*(x.tolist() for x in t._features(chunk))))
+            own = [chunk.data[a:b].tobytes() for a, b in zip(runs.start, runs.end)]
+            assert t._capitals(chunk.data, runs).tolist() == [i for i, w in enumerate(own) if len(w) >= 4 and all(65 <= c <= 90 for c in w)]
+            letter = lambda c: c >= 128 or chr(c).isalpha()
+            raw = [chunk.data[a:b].tobytes() for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:])]
+            new = np.zeros(len(chunk.data) + 1, bool)
+            new[chunk.offsets[:-1]] = True
+            hidden = [a + i for a, x in zip(chunk.offsets[:-1].tolist(), raw) for i in range(1, len(x) - 1) if chr(x[i]) in "*@$#0123456789" and letter(x[i - 1]) and letter(x[i + 1])]
+            assert t._hidden(chunk.data, new[: len(chunk.data)]).tolist() == hidden
